@@ -157,8 +157,16 @@ def test_simhash_groups(docs, none):
                     label[i] = min(label[i], label[j])
     got = simhash.groups(docs).collect()
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{prints[i]:016x}", label[i]) for i, *_ in rows())
+    prints = {i: [simhash.fingerprint(simhash.rehashed(simhash.shingle_hashes(t, 2), v)) for v in range(5)] for i, t, *_ in rows()}
+    label = {i: i for i in prints}
+    for _ in prints:
+        for i in prints:
+            for j in prints:
+                if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j])):
+                    label[i] = min(label[i], label[j])
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+    assert simhash.keep_one(none).count() == 0
     assert simhash.groups(none).count() == 0
 
 

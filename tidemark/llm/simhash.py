@@ -52,6 +52,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(sum(1 << int(i) for i in np.nonzero(2 * total > len(hashes))[0]))
 
 
+def rehashed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """The hashes under another 64-bit mixing; view 0 is the hashes themselves."""
+    if not view:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes ^ np.uint64(view * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -71,6 +82,21 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str =
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def views(docs: DataFrame, n: int, width: int) -> DataFrame:
+    """doc_id and fps, the fingerprints of n views of each whole text."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py(), width)
+                out.append([_signed(fingerprint(rehashed(h, v))) for v in range(n)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<long>")
+
+
 class BKTree:
     """Children of a node are keyed by their integer Hamming distance to it.
 
@@ -235,7 +261,30 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: i
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+def wide_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
+    """doc_id and component_id (least id reachable): documents link where any view's fingerprints do.
+
+    One view finds a pair of similarity 0.8 in some of the cases only. Views hash the same shingles anew, so
+    more of them find more such pairs and keep the radius, which is what bounds the shards.
+    """
+    prints = materialize(views(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n_views, width), "views")
+    classes = materialize(prints.groupBy("fps").agg(F.min("doc_id").alias("class")), "classes")
+    edges = None
+    for v in range(n_views):
+        fp = F.col("fps")[v].alias("fp")
+        top = materialize(classes.groupBy(fp).agg(F.min("class").alias("top")), f"view-{v}")
+        star = classes.select("class", fp).join(top, "fp").where("class <> top").select(F.col("class").alias("a"), F.col("top").alias("b"))
+        near = links(top.select("fp"), radius)
+        for side in "ab":
+            near = near.join(top.select(F.col("fp").alias(side), F.col("top").alias(f"top_{side}")), side)
+        both = materialize(star.unionByName(near.select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))), f"edges-{v}")
+        edges = both if edges is None else edges.unionByName(both)
+    reach = components(edges)
+    named = materialize(classes.join(reach.withColumnRenamed("node", "class"), "class", "left").select("fps", F.coalesce("component", "class").alias("component_id")), "named")
+    return prints.join(named, "fps").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
     """The rows of docs whose id is the least of its group; of rows that repeat an id, one stays."""
-    stay = groups(docs, id_col, text, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    stay = wide_groups(docs, id_col, text, width, n_views, radius).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
