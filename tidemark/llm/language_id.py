@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, slices_of
+from tidemark.llm.common import hash_sample, ship, slices_of
 
 SEGMENT = 128
 UNKNOWN = "und"
@@ -195,7 +195,7 @@ def train(labelled: DataFrame, sample: int = 1500, per_document: int = 6, hidden
 
     sample is the documented bound on what reaches the driver. None where no labelled text has a letter.
     """
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(sample).collect()
+    rows = hash_sample(labelled.where("text is not null and lang is not null").select("text", "lang"), ["text", "lang"], sample).collect()
     rows = [r for r in rows if _LETTER.search(r.text)]
     if not rows:
         return None

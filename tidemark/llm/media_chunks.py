@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_dir, ship, shuffle_cleanup, slices_of
+from tidemark.llm.common import hash_sample, materialize, shared_dir, ship, shuffle_cleanup, slices_of
 
 MAGIC = b"TMCH1"
 UNIT = 64
@@ -97,7 +97,7 @@ def feature_of(payload: bytes) -> str:
 
 def _dictionary(docs: DataFrame, sample: int = 400, size: int = 96 << 10) -> bytes:
     """A compression dictionary over the sample texts with the least hash; it shapes the stored size alone."""
-    rows = docs.where("length(text) > 0").select("text").orderBy(F.xxhash64("text")).limit(sample).collect()
+    rows = hash_sample(docs.where("length(text) > 0").select("text"), ["text"], sample).collect()
     blocks = [b[i : i + 2048] for r in rows for b in [r.text.encode("utf-8", "surrogatepass")] for i in range(0, len(b), 2048)]
     if len(blocks) < 32:
         return b""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, slices_of
+from tidemark.llm.common import hash_sample, ship, slices_of
 
 BITS = 18
 FEATURES = 1 << BITS
@@ -156,7 +156,7 @@ def _logistic(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 
 def train(labelled: DataFrame, sample: int = 4000) -> Model:
     """Fits to the sample rows (text, label) with the least hash of their text; sample is the documented bound."""
-    rows = labelled.where("text is not null and label is not null").select("text", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("text"), "label").limit(sample).collect()
+    rows = hash_sample(labelled.where("text is not null and label is not null").select("text", F.col("label").cast("int").alias("label")), ["text", "label"], sample).collect()
     return fit([r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([r.label for r in rows], dtype=np.int64))
 
 

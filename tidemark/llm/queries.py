@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, media_chunks, packing, quality, secret_scan, simhash, token_counts, token_output, url_rules
-from tidemark.llm.common import bucket_of, table
+from tidemark.llm.common import bucket_of, hash_sample, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,7 +21,7 @@ def op1_quality(spark: SparkSession, sf_dir: str, sample: int = 4000) -> DataFra
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = bucket_of("doc_id", 5)
     # The sample is drawn among labels first, so that only its texts move.
-    some = labels.where("quality is not null").where(fold != 0).groupBy("doc_id").agg(F.min("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = hash_sample(labels.where("quality is not null").where(fold != 0).groupBy("doc_id").agg(F.min("quality").alias("label")), ["doc_id"], sample)
     model = quality.train(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label"), sample)
     rows = docs.select("doc_id", (fold == 0).alias("held_out"), "text")
     return quality.score(rows, model)

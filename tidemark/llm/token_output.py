@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import materialize, ship, slices_of
+from tidemark.llm.common import hash_sample, materialize, ship, slices_of
 from tidemark.llm.word_cache import encoder
 
 MAGIC = b"TMTK1"
@@ -38,7 +38,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = 256, si
 
     The sample is a documented bound; it only shapes compression. Too little data gives an empty dictionary.
     """
-    rows = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").collect()
+    rows = hash_sample(docs.where("text is not null").select("doc_id", "text"), ["doc_id"], sample).select("text").collect()
     blocks: list[bytes] = []
     for ids in encoder(tokenizer_path).encode_bytes([r.text for r in rows]):
         blocks += [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
