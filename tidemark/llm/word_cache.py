@@ -17,7 +17,9 @@ import unicodedata
 import numpy as np
 
 _ENTRIES = 700_000
-_ODD = re.compile("[\\W_][.,]|[\u0130\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+_ODD = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: A full stop or comma behind anything but a letter or digit; it begins with what is rare, so the search is fast.
+_RUN = re.compile(r"[.,](?<=[\W_].)")
 _LOADED: dict[str, WordEncoder] = {}
 
 
@@ -72,7 +74,7 @@ class WordEncoder:
     def _plain(self, text: str) -> bool:
         if self.word_ends and not text.isascii() and not unicodedata.is_normalized("NFC", text):
             return False
-        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(x in text for x in self.special) or _ODD.search(text))
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(x in text for x in self.special) or _ODD.search(text) or _RUN.search(text))
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -81,6 +83,8 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if t:
                 if self._plain(t):
+                    if self.word_ends:  # this vocabulary is of lower case, so fewer words are new
+                        t = t.lower()
                     split[i] = ("\x01" + t).replace("\n", " \x01\n").replace(".", " \x01.").replace(",", " \x01,").split(" ")
                 else:
                     whole.append(i)
