@@ -96,9 +96,11 @@ def _arith(op: str, left: _Typed, right: _Typed) -> _Typed:
         return _Typed({"+": a + b, "-": a - b, "*": a * b, "/": F.when(b != 0, F.call_function("div", a, b))}[op], T.LongType())
     a, b = _exact(left), _exact(right)
     if op == "/":
-        wide = T.DecimalType(38, PLACES)
-        q = F.when(b.column != 0, a.column.cast(T.DecimalType(38, min(a.type.scale, 18))) / b.column)
-        return _Typed(F.round(q, PLACES).cast(wide), wide)
+        # Twelve places need room: digits before the point are limited, and too large a number raises.
+        wide, scale = T.DecimalType(38, PLACES), min(b.type.scale, PLACES)
+        top = a.column.cast(T.DecimalType(min(a.type.precision - a.type.scale, 26 - scale) + min(a.type.scale, PLACES), min(a.type.scale, PLACES)))
+        low = b.column.cast(T.DecimalType(min(b.type.precision, 26), scale))
+        return _Typed(F.round(F.when(b.column != 0, top / low), PLACES).cast(wide), wide)
     p, s, q, r = a.type.precision, a.type.scale, b.type.precision, b.type.scale
     if op == "*":
         scale = min(s + r, PLACES)

@@ -83,7 +83,18 @@ def intervals(log: DataFrame, pk: list[str]) -> DataFrame:
     return log.where(F.col("session_id").isNull()).withColumn("seq_to", nxt)
 
 
-def as_of(commits: DataFrame, moment: DataFrame | str) -> DataFrame:
-    """For each moment (branch_id, ts): the latest commit on the branch at or before it, by (committed_at, seq)."""
-    joined = moment.alias("m").join(commits.alias("c"), (F.col("m.branch_id") == F.col("c.branch_id")) & (F.col("c.committed_at") <= F.col("m.ts")), "left")
-    return joined.groupBy(F.col("m.branch_id").alias("branch_id"), F.col("m.ts").alias("ts")).agg(F.max("c.seq").alias("seq"))
+def as_of(commits: DataFrame, moments: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """For each moment (branch_id, moment): the greatest seq of its branch's commits (branch_id, moment, seq) up to it.
+
+    A moment is a number, such as microseconds. Windows run within spans of width, so no task holds a branch whole;
+    what came before a span is one number, from a table of a row per span.
+    """
+    span = F.floor(F.col("moment") / width).alias("span")
+    c = commits.select("branch_id", "moment", "seq", span)
+    m = moments.select("branch_id", "moment", F.lit(None).cast("long").alias("seq"), span).distinct()
+    both = c.withColumn("asked", F.lit(False)).unionByName(m.withColumn("asked", F.lit(True)))
+    within = F.max("seq").over(W.partitionBy("branch_id", "span").orderBy("moment").rangeBetween(W.unboundedPreceding, 0))
+    found = both.withColumn("within", within).where("asked")
+    spans = both.groupBy("branch_id", "span").agg(F.max("seq").alias("last"))
+    before = spans.select("branch_id", "span", F.max("last").over(W.partitionBy("branch_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    return found.join(before, ["branch_id", "span"], "left").select("branch_id", "moment", F.coalesce("within", "before").alias("seq"))

@@ -68,12 +68,12 @@ class Repository:
         """An empty repository whose root commit, seq 0, is on the protected branch main."""
         if not author:
             raise Refused("an author is required")
-        now = clock or (lambda: time.time_ns() // 1000)
+        now = (clock or (lambda: time.time_ns() // 1000))()
         repo_id, main = uuid.uuid4().hex, uuid.uuid4().hex
-        state = {"repo": {"id": repo_id, "name": name, "author": author, "created": now()}, "branches": {}, "tags": {}, "commits": {}, "tables": {}, "sessions": {}, "proposals": {}, "plans": {}, "keys": {}, "purges": [], "drift": [], "once": {}, "deleted": {}}
+        state = {"repo": {"id": repo_id, "name": name, "author": author, "created": now}, "branches": {}, "tags": {}, "commits": {}, "tables": {}, "sessions": {}, "proposals": {}, "plans": {}, "keys": {}, "purges": [], "drift": [], "once": {}, "deleted": {}}
         chain = [[main, 0]]
-        root = encoding.commit_id(bytes.fromhex(repo_id), [], encoding.fold([]), encoding.fold([]), author, now(), "root", "").hex()
-        state["commits"][root] = {"parents": [], "branch": main, "seq": 0, "author": author, "at": now(), "message": "root", "external": "", "change": encoding.fold([]).hex(), "schema": encoding.fold([]).hex(), "integrity": "full", "chain": chain, "table": None}
+        root = encoding.commit_id(bytes.fromhex(repo_id), [], encoding.fold([]), encoding.fold([]), author, now, "root", "").hex()
+        state["commits"][root] = {"parents": [], "branch": main, "seq": 0, "author": author, "at": now, "message": "root", "external": "", "change": encoding.fold([]).hex(), "schema": encoding.fold([]).hex(), "integrity": "full", "chain": chain, "table": None}
         state["branches"]["main"] = {"id": main, "head": root, "seq": 0, "parent": None, "fork": None, "fork_seq": 0, "chain": chain, "protected": True, "min_approvals": 0}
         ControlStore(spark, path).publish(0, state)
         return cls(spark, path, clock)
@@ -644,15 +644,17 @@ class Repository:
         version = sc.settle(self.schema(table, branch), want)
         if missing := [i for i in version.pk if version.column(i) is None]:
             raise Refused(f"key column {missing[0]} stays")
-        self._put_schema(table, branch, version)
+        self._put_schema(table, branch, version, author or self.state["repo"]["author"], f"Alter {table}")
         self._save()
         return version
 
-    def _put_schema(self, table: str, branch: str, version: sc.Version) -> None:
+    def _put_schema(self, table: str, branch: str, version: sc.Version, author: str, message: str) -> None:
+        """A schema change is a commit without rows, so chains that stand before it keep the old schema."""
         t, b = self._table(table), self._branch(branch)
         entry = {"epoch": version.epoch, "columns": [c.__dict__ for c in version.columns], "dropped": list(version.dropped)}
         t["schemas"][b["id"]] = entry
-        t.setdefault("epochs", {}).setdefault(b["id"], []).append({**entry, "seq": b["seq"]})
+        t.setdefault("epochs", {}).setdefault(b["id"], []).append({**entry, "seq": b["seq"] + 1})
+        self._append(table, branch, version, b["seq"] + 1, encoding.fold([]), [b["head"]], author, message, "", 0)
 
     def merge_schema(self, table: str, source: str, target: str, proposal: int | None = None) -> dict:
         """Three-way against the schema at the merge base; changes become a pending plan."""
@@ -700,7 +702,7 @@ class Repository:
             elif s.kind in ("alter_type", "set_not_null", "drop_not_null") and at is not None:
                 columns[at] = sc.replace(columns[at], type=s.column.type if s.kind == "alter_type" else columns[at].type, nullable={"set_not_null": False, "drop_not_null": True}.get(s.kind, columns[at].nullable))
             if tuple(columns) != now.columns:
-                self._put_schema(p["table"], p["target"], sc.Version(tuple(columns), now.pk, tuple(sorted(dropped)), now.epoch + 1))
+                self._put_schema(p["table"], p["target"], sc.Version(tuple(columns), now.pk, tuple(sorted(dropped)), now.epoch + 1), self.state["repo"]["author"], f"Plan {number}: {s.kind}")
             p["done"].append(s.ordinal)
             self._save()
         p["state"] = "applied"

@@ -165,28 +165,23 @@ def at_commit(spark, sf_dir):
 _DAYS = "SELECT DISTINCT date_trunc('day', ts) AS day FROM events"
 
 
-@query(f"SELECT 'main' AS branch_id, epoch_us(day) AS at, (SELECT max(epoch_us(e.ts)) FROM events e WHERE e.ts <= d.day AND e.event_type = 'purchase') AS seq FROM ({_DAYS}) d")
+@query(f"SELECT 'main' AS branch_id, epoch_us(day) AS moment, (SELECT max(epoch_us(e.ts)) FROM events e WHERE e.ts <= d.day AND e.event_type = 'purchase') AS seq FROM ({_DAYS}) d")
 def as_of_time(spark, sf_dir):
-    """Purchases stand for commits; each day's latest one before it. A range within the month before bounds the join."""
-    e = table(spark, sf_dir, "events")
-    commits = e.where("event_type = 'purchase'").select(F.lit("main").alias("branch_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"))
-    # One last commit a day: then days are few, however many commits there are.
-    daily = commits.groupBy("branch_id", F.floor(F.col("seq") / 86_400_000_000).alias("d")).agg(F.max("seq").alias("seq"))
-    days = e.select(F.lit("main").alias("branch_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("d")).distinct()
-    both = days.select("branch_id", "d", F.lit(None).cast("long").alias("seq")).unionByName(daily.select("branch_id", "d", "seq"))
-    per_day = both.groupBy("branch_id", "d").agg(F.max("seq").alias("seq"), F.count(F.when(F.col("seq").isNull(), 1)).alias("asked"))
-    before = F.max("seq").over(W.partitionBy("branch_id").orderBy("d").rowsBetween(W.unboundedPreceding, -1))
-    at_midnight = F.when(F.col("seq") == F.col("d") * 86_400_000_000, F.col("seq"))
-    return per_day.withColumn("before", before).where("asked > 0").select("branch_id", (F.col("d") * 86_400_000_000).alias("at"), F.coalesce(at_midnight, "before").alias("seq"))
-
-
-@query("SELECT branch_id, ts, max(seq) AS seq FROM (SELECT 'main' AS branch_id, n_nationkey AS ts FROM nation) m LEFT JOIN (SELECT r_regionkey * 5 AS seq FROM region) c ON c.seq <= m.ts GROUP BY branch_id, ts")
+    """Purchases stand for commits, midnights for moments."""
+    e = table(spark, sf_dir, "events").withColumn("moment", F.unix_micros(F.col("ts").cast("timestamp")))
+    commits = e.where("event_type = 'purchase'").select(F.lit("main").alias("branch_id"), "moment", F.col("moment").alias("seq"))
+    days = e.select(F.lit("main").alias("branch_id"), (F.floor(F.col("moment") / 86_400_000_000) * 86_400_000_000).alias("moment")).distinct()
+    return as_of(commits, days)
+
+
+@query("SELECT branch_id, moment, max(seq) AS seq FROM (SELECT 'main' AS branch_id, n_nationkey AS moment FROM nation) m LEFT JOIN (SELECT r_regionkey * 5 AS seq FROM region) c ON c.seq <= m.moment GROUP BY branch_id, moment")
 def as_of_many(spark, sf_dir):
-    commits = table(spark, sf_dir, "region").select(F.lit("main").alias("branch_id"), (F.col("r_regionkey") * 5).cast("long").alias("seq"), (F.col("r_regionkey") * 5).alias("committed_at"))
-    return as_of(commits, table(spark, sf_dir, "nation").select(F.lit("main").alias("branch_id"), F.col("n_nationkey").alias("ts")))
+    """Many moments at once, over spans that hold a few commits each."""
+    commits = table(spark, sf_dir, "region").select(F.lit("main").alias("branch_id"), (F.col("r_regionkey") * 5).cast("long").alias("moment"), (F.col("r_regionkey") * 5).cast("long").alias("seq"))
+    return as_of(commits, table(spark, sf_dir, "nation").select(F.lit("main").alias("branch_id"), F.col("n_nationkey").cast("long").alias("moment")), 8)
 
 
-@query(_B1.replace("p_retailprice FROM (SELECT", "p_retailprice FROM (SELECT", 1))
+@query(_B1)
 def append_only_resolve(spark, sf_dir):
     """Three versions of each key on one branch: the newest alone shows."""
     log = part_log(spark, sf_dir)
@@ -555,3 +550,47 @@ def materialized_orders(spark, sf_dir):
     log = _versions(o, "main", 0, 1).unionByName(_versions(o.where("o_orderkey % 9 = 0"), "b1", 1, 3))
     live = resolve(log, CHAIN1, ["o_orderkey"])
     return live.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, p_size FROM part WHERE p_size <> 7 EXCEPT SELECT p_brand, p_size FROM part WHERE p_partkey % 3 = 0")
+def removed_values(spark, sf_dir):
+    """Set difference of two states' values, each value once."""
+    p = table(spark, sf_dir, "part")
+    return p.where("p_size <> 7").select("p_brand", "p_size").subtract(p.where("p_partkey % 3 = 0").select("p_brand", "p_size"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10")
+def common_keys(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    rich = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(rich, "c_custkey", "left_semi").select("c_custkey").intersect(c.where("c_nationkey < 10").select("c_custkey"))
+
+
+@query("SELECT 'branch' AS kind, p.n_name AS parent, c.n_name AS name FROM nation c LEFT JOIN nation p ON p.n_nationkey = c.n_regionkey AND c.n_regionkey <> 0")
+def refs_with_parents(spark, sf_dir):
+    """Refs beside the names of their parents, those without one too."""
+    n = table(spark, sf_dir, "nation")
+    parents = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("parent"))
+    return n.join(F.broadcast(parents), (F.col("k") == F.col("n_regionkey")) & (F.col("n_regionkey") != 0), "left").select(F.lit("branch").alias("kind"), "parent", F.col("n_name").alias("name"))
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS p_size FROM part")
+def schema_epoch_projection(spark, sf_dir):
+    """A log whose even rows were written before a column was dropped, read by the version that has p_size last."""
+    p = table(spark, sf_dir, "part")
+    wide = p.where("p_partkey % 2 = 0").select("p_partkey", "p_name", "p_size")
+    return wide.unionByName(p.where("p_partkey % 2 = 1").select("p_partkey", "p_name"), allowMissingColumns=True)
+
+
+@query("SELECT o_orderkey % 16 AS bucket, count(*) AS n FROM orders WHERE o_orderkey % 16 NOT BETWEEN 4 AND 7 GROUP BY o_orderkey % 16")
+def dropped_partitions(spark, sf_dir):
+    """History without the folders of a span of seqs: a filter on the partition column, which prunes them."""
+    o = table(spark, sf_dir, "orders").withColumn("bucket", F.col("o_orderkey") % 16)
+    return o.where(~F.col("bucket").between(4, 7)).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT approx.p50 AS p50, approx.n AS n FROM (SELECT quantile_disc(value, 0.5) AS p50, count(*) AS n FROM events) approx")
+def latency_summary(spark, sf_dir):
+    """Exact median and count of a measured value."""
+    e = table(spark, sf_dir, "events")
+    return e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.count("*").alias("n"))
