@@ -249,6 +249,9 @@ def test_personal_data(spark, tmp_path):
     old = {(r.id, r.seq_from): r.email for r in repo.history("contacts").collect()}
     assert old["C1", 0] == "ada@example.com" and old["C1", 1] == "ada@new.example"
     assert repo.commit("contacts", repo.read("contacts"), author="ada").changed == 0
+    with pytest.raises(Exception, match="names no subject"):
+        repo.commit("contacts", spark.createDataFrame([("C4", None, "who@example.com")], "id string, customer string, email string"), author="ada")
+    repo.refresh()
     repo.erase_subject("contacts", "cust-1", "ada", "asked")
     assert {r.id for r in repo.read("contacts").collect()} == {"C2", "C3"}
     assert {r.email for r in repo.read("contacts", at=first).where("id = 'C1'").collect()} == {"<erased>"}

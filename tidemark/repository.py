@@ -70,7 +70,7 @@ class Repository:
             raise Refused("an author is required")
         now = (clock or (lambda: time.time_ns() // 1000))()
         repo_id, main = uuid.uuid4().hex, uuid.uuid4().hex
-        state = {"repo": {"id": repo_id, "name": name, "author": author, "created": now}, "branches": {}, "tags": {}, "commits": {}, "tables": {}, "sessions": {}, "proposals": {}, "plans": {}, "keys": {}, "purges": [], "drift": [], "once": {}, "deleted": {}}
+        state = {"repo": {"id": repo_id, "name": name, "author": author, "created": now}, "branches": {}, "tags": {}, "commits": {}, "tables": {}, "sessions": {}, "proposals": {}, "plans": {}, "key_files": [], "purges": [], "drift": [], "once": {}, "deleted": {}}
         chain = [[main, 0]]
         root = encoding.commit_id(bytes.fromhex(repo_id), [], encoding.fold([]), encoding.fold([]), author, now, "root", "").hex()
         state["commits"][root] = {"parents": [], "branch": main, "seq": 0, "author": author, "at": now, "message": "root", "external": "", "change": encoding.fold([]).hex(), "schema": encoding.fold([]).hex(), "integrity": "full", "chain": chain, "table": None}
@@ -175,9 +175,9 @@ class Repository:
         table = self._table(name)
         relative = f"data/{name}/{uuid.uuid4().hex}"
         keys = [version.column(i).name for i in table["pk"]]
-        ready = rows.sortWithinPartitions(*keys).select(
+        ready = self._with_keys(name, rows, version, new=True).sortWithinPartitions(*keys).select(
             F.lit(branch).alias("branch_id"), F.lit(seq).cast("long").alias("seq_from"), F.col("op").cast("int").alias("op"), F.lit(session).cast("string").alias("session_id"), F.col("changed"),
-            *[self._sealed(name, c, version, rows).cast(c.type).alias(f"c_{c.id}") for c in version.columns],
+            *[self._sealed(name, c, version).cast(c.type).alias(f"c_{c.id}") for c in version.columns],
         )
         ready.write.parquet(f"{self.path}/{relative}")
         table["files"].append({"path": relative, "branch": branch, "seq": seq, "session": session, "order": len(table["files"]), "columns": [[c.id, c.type] for c in version.columns]})
@@ -717,44 +717,67 @@ class Repository:
         c = version.named(column)
         if c.id in t["pk"]:
             raise Refused("a key column cannot be sealed")
-        log = self.log(table, None, None, version)
-        subjects = [r[0] for r in log.where(F.col(subject).isNotNull()).select(F.col(subject).cast("string")).distinct().collect()]
-        self._new_keys(subjects)
-        rows = log.persist()
-        rows.count()
+        log, old = self.log(table, None, None, version), t["files"]
         t["pii"][column] = subject
-        self._rewrite(table, rows, version)
-        rows.unpersist()
+        self._rewrite(table, log, version)
         self._save()
+        self._vacuum(old)
 
-    def _new_keys(self, subjects: list[str]) -> None:
-        import secrets
+    def _key_table(self) -> DataFrame:
+        """subject, key; a forgotten key is NULL and its row stays, so that it is not made anew."""
+        if not self.state["key_files"]:
+            return self.spark.createDataFrame([], "subject string, key binary")
+        return self.spark.read.schema("subject string, key binary").parquet(*[f"{self.path}/{f}" for f in self.state["key_files"]])
 
-        for s in subjects:
-            if s not in self.state["keys"]:
-                self.state["keys"][s] = secrets.token_hex(16)
+    def _put_keys(self, keys: DataFrame) -> str:
+        relative = f"keys/{uuid.uuid4().hex}"
+        keys.write.parquet(f"{self.path}/{relative}")
+        return relative
+
+    def _new_keys(self, subjects: DataFrame) -> None:
+        """A random key for each subject (column subject) that has none, written once before it is used."""
+
+        def draw(batches):
+            import secrets
+
+            import pyarrow as pa
 
-    def _key_column(self, subject: str) -> F.Column:
-        live = {s: k for s, k in self.state["keys"].items() if k}
-        if not live:
-            return F.lit(None).cast("binary")
-        return F.unhex(F.create_map(*[F.lit(x) for s, k in live.items() for x in (s, k)])[F.col(subject).cast("string")])
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([secrets.token_bytes(16) for _ in range(batch.num_rows)], pa.binary())], names=["subject", "key"])
+
+        fresh = subjects.where("subject IS NOT NULL").distinct().join(self._key_table(), "subject", "left_anti")
+        self.state["key_files"].append(self._put_keys(fresh.select("subject").mapInArrow(draw, "subject string, key binary")))
+
+    def _with_keys(self, name: str, rows: DataFrame, version: sc.Version, new: bool = False) -> DataFrame:
+        """Adds the key of each sealed column's subject, by a join: subjects are as many as the data has."""
+        subjects = sorted({s for c, s in self._table(name)["pii"].items() if version.named(c)})
+        for s in subjects:
+            if new:
+                self._new_keys(rows.select(F.col(s).cast("string").alias("subject")))
+            rows = privacy.with_keys(rows, self._key_table(), s).withColumnRenamed("__key", f"__key_{s}")
+        return rows
 
     def _aad(self, name: str, column_id: int, version: sc.Version):
         return privacy.associated(name, F.concat_ws("|", *[F.col(k).cast("string") for k in self._keys(name, version)]), column_id)
 
-    def _sealed(self, name: str, c: sc.Column, version: sc.Version, rows: DataFrame):
-        pii = self._table(name)["pii"]
-        if c.name not in pii:
+    def _sealed(self, name: str, c: sc.Column, version: sc.Version):
+        subject = self._table(name)["pii"].get(c.name)
+        if subject is None:
             return F.col(c.name)
-        subject = pii[c.name]
-        self._new_keys([r[0] for r in rows.where(F.col(subject).isNotNull()).select(F.col(subject).cast("string")).distinct().collect()])
-        return privacy.seal(F.col(c.name), self._key_column(subject), self._aad(name, c.id, version))
+        sealed = privacy.seal(F.col(c.name), F.col(f"__key_{subject}"), self._aad(name, c.id, version))
+        ownerless = F.col(c.name).isNotNull() & F.col(subject).isNull()
+        return F.when(ownerless, F.raise_error(F.lit(f"{c.name} has a value but {subject} names no subject"))).otherwise(sealed)
 
     def _opened(self, name: str, df: DataFrame, version: sc.Version) -> DataFrame:
         pii = self._table(name)["pii"]
-        opened = {c.name: privacy.unseal(F.col(c.name), self._key_column(pii[c.name]), self._aad(name, c.id, version)) for c in version.columns if c.name in pii}
-        return df.withColumns(opened) if opened else df
+        opened = {c.name: privacy.unseal(F.col(c.name), F.col(f"__key_{pii[c.name]}"), self._aad(name, c.id, version)) for c in version.columns if c.name in pii}
+        return self._with_keys(name, df, version).withColumns(opened).select(*df.columns) if opened else df
+
+    def _vacuum(self, old: list[dict]) -> None:
+        """Deletes folders that the published state no longer names. Frames read from them before fail."""
+        live = {f["path"] for t in self.state["tables"].values() for f in t["files"]}
+        for path in {f["path"] for f in old} - live:
+            self.store.delete(path)
 
     def erase_subject(self, table: str, subject: str, author: str, reason: str = "") -> CommitResult:
         """Deletes the subject's current rows by a commit, then forgets the key: history reads as erased."""
@@ -764,8 +787,12 @@ class Repository:
         mine = reduce(lambda a, b: a | b, [F.col(c).cast("string") == subject for c in columns])
         keys = self.read(table).where(mine).select(*self._keys(table, self.schema(table)))
         result = self.commit(table, keys.withColumn("op", F.lit(DELETE)), "main", author, f"Erase subject: {reason}")
-        self.state["keys"][subject] = None
+        old = self.state["key_files"]
+        forgotten = self._key_table().withColumn("key", F.when(F.col("subject") != subject, F.col("key")))
+        self.state["key_files"] = [self._put_keys(forgotten)]
         self._save()
+        for f in old:
+            self.store.delete(f)
         return result
 
     # Retention and checks
@@ -774,17 +801,19 @@ class Repository:
         """Replaces a table's files by one folder per branch, session and seq span."""
         t = self._table(table)
         old, t["files"] = t["files"], []
+        rows = rows.select(*[x.name for x in META.fields], *[c.name for c in version.columns])
         relative = f"data/{table}/{uuid.uuid4().hex}"
-        ready = rows.select(*[x.name for x in META.fields], *[self._sealed(table, c, version, rows).cast(c.type).alias(f"c_{c.id}") for c in version.columns])
+        ready = self._with_keys(table, rows, version, new=True).select(*[x.name for x in META.fields], *[self._sealed(table, c, version).cast(c.type).alias(f"c_{c.id}") for c in version.columns])
         ready.repartition(*[F.col(f"c_{i}") for i in t["pk"]]).sortWithinPartitions("branch_id", *[f"c_{i}" for i in t["pk"]], "seq_from").write.parquet(f"{self.path}/{relative}")
         for branch, session in sorted({(f["branch"], f["session"]) for f in old}, key=str):
             t["files"].append({"path": relative, "branch": branch, "seq": 0, "session": session, "order": 0, "columns": [[c.id, c.type] for c in version.columns], "shared": True})
 
     def compact(self, table: str) -> None:
         """Rewrites a table's small files into one sorted folder."""
-        wide = self._widest(table)
+        wide, old = self._widest(table), self._table(table)["files"]
         self._rewrite(table, self.log(table, None, None, wide), wide)
         self._save()
+        self._vacuum(old)
 
     def _widest(self, table: str) -> sc.Version:
         """Every column that any file holds."""
@@ -806,14 +835,13 @@ class Repository:
         version = self._widest(table)
         pk = self._keys(table, version)
         log = self.log(table, None, None, version)
-        before = log.count()
-        kept = retention.prune(log, main["id"], cutoff, pk).persist()
-        after = kept.count()
-        if after < before:
-            self._rewrite(table, kept, version)
+        gone = retention.prune_report(log, main["id"], cutoff, pk).agg(F.sum("removed")).first()[0] or 0
+        if gone:
+            old = self._table(table)["files"]
+            self._rewrite(table, retention.prune(log, main["id"], cutoff, pk), version)
             self._save()
-        kept.unpersist()
-        return before - after
+            self._vacuum(old)
+        return gone
 
     def gc(self, grace_s: int = 0) -> int:
         """Reaps sessions and drops files of branches deleted longer ago than the grace period."""
@@ -840,15 +868,14 @@ class Repository:
         log = self.log(table, None, None, version)
         hit = log.join(keys.select(*pk), pk, "left_semi").groupBy("branch_id", "seq_from").count().collect()
         touched = {(r.branch_id, r.seq_from) for r in hit}
-        kept = retention.purge(log, keys, pk).persist()
-        kept.count()
-        self._rewrite(table, kept, version)
-        kept.unpersist()
+        old = self._table(table)["files"]
+        self._rewrite(table, retention.purge(log, keys, pk), version)
         for c in self.state["commits"].values():
             if (c["branch"], c["seq"]) in touched and c["seq"] > 0:
                 c["integrity"] = "purged"
         self.state["purges"].append({"table": table, "reason": reason, "by": principal, "at": self.clock(), "versions": sum(r["count"] for r in hit)})
         self._save()
+        self._vacuum(old)
         return sum(r["count"] for r in hit)
 
     def drop_history(self, table: str, branch: str, from_seq: int, to_seq: int) -> int:
