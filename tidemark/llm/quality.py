@@ -77,6 +77,22 @@ def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pair >> BITS, pair & (FEATURES - 1)
 
 
+def sparse_rows(texts: list[bytes], limit: int = 1 << 18) -> list[np.ndarray]:
+    """The features of each text, in slices of about limit bytes, so that what is held beside them stays small."""
+    rows: list[np.ndarray] = []
+    start, size = 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or (i > start and size + len(texts[i]) > limit):
+            doc, feat = indicators(texts[start:i])
+            bounds = np.searchsorted(doc, np.arange(i - start + 1))
+            feat = feat.astype(np.int32)
+            rows += [feat[a:b] for a, b in zip(bounds, bounds[1:])]
+            start, size = i, 0
+        if i < len(texts):
+            size += len(texts[i])
+    return rows
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float) -> None:
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
@@ -113,9 +129,7 @@ def fit(texts: list[bytes], labels: np.ndarray, c: float = 1.0, blend: float = 0
     if len(set(labels.tolist())) < 2:
         sure = 4.0 if len(labels) and labels[0] == 1 else -4.0 if len(labels) else 0.0
         return Model(np.zeros(FEATURES), 0.0, 0.0, sure)
-    doc, feat = indicators(texts)
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    rows = [feat[a:b] for a, b in zip(bounds, bounds[1:])]
+    rows = sparse_rows(texts)
     held = np.arange(len(texts)) % 4 == 3
     if len(set(labels[~held].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
         held = np.zeros(len(texts), dtype=bool)
@@ -127,7 +141,7 @@ def fit(texts: list[bytes], labels: np.ndarray, c: float = 1.0, blend: float = 0
     y = np.where(labels == 1, 1.0, -1.0)
     share = np.array([(y[use] < 0).mean(), (y[use] > 0).mean()])
     scale = [1 / np.sqrt(max(len(r), 1)) for r in rows]
-    w = _descend([np.append(rows[i], FEATURES) for i in use], [np.append(ratio[rows[i]] * scale[i], 1.0) for i in use], y[use], c * np.where(y[use] > 0, share[0], share[1]) * 2, passes, seed)
+    w = _descend([np.append(rows[i], np.int32(FEATURES)) for i in use], [np.append(ratio[rows[i]] * scale[i], 1.0).astype(np.float32) for i in use], y[use], c * np.where(y[use] > 0, share[0], share[1]) * 2, passes, seed)
     mean = np.abs(w[:-1]).sum() / max(1, np.count_nonzero(w[:-1]))
     weights = ((1 - blend) * mean * (w[:-1] != 0) + blend * w[:-1]) * ratio
     model = Model(weights, 0.0, 1.0, 0.0)
