@@ -14,8 +14,8 @@ LEAST_SHARE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = language_id.predict(docs.withColumn("__text", F.col("text")), language_model(docs), "__text")
-    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    judged = language_id.predict(docs, language_model(docs), out=("__lang", "__share"))
+    kept = judged.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__share") >= LEAST_SHARE))
     return kept.select(*docs.columns)
 
 

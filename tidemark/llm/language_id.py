@@ -214,10 +214,10 @@ def train(labelled: DataFrame, sample: int = 1500, per_document: int = 6, hidden
     return network
 
 
-def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row; no shuffle. und with score 0 where text is null or has no letter."""
+def predict(docs: DataFrame, network: Network | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the columns out to every row, in place of any of those names; no shuffle. und with score 0 where text is null or has no letter."""
     ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in out]
 
     def run(batches):
         for batch in batches:
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
                 best = p.argmax(axis=1)
                 langs = [network.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known)]
                 score = [min(1.0, max(0.0, float(p[i, k]))) if ok else 0.0 for i, (k, ok) in enumerate(zip(best.tolist(), known))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, *out])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add(out[0], "string").add(out[1], "double")
+    return docs.select(*keep, F.col(text).cast("string").alias("__language_input")).mapInArrow(run, schema)

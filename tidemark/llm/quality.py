@@ -190,4 +190,4 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("__quality_input")).mapInArrow(run, schema)
