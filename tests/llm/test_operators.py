@@ -266,7 +266,7 @@ def test_contamination(spark, docs, none):
     other = asks.replace("12", "90").replace("3 hours", "7 hours")
     broken = asks.replace("12 km in", "55 km in").replace("12 km more", "81 km more")
     benchmark = spark.createDataFrame([(1, long), (2, short), (3, tiny), (4, asks), (5, None), (6, "")], "item_id long, text string")
-    texts = ["start here. " + long.upper() + " end", long[: len(long) // 4], f"so {short} it", tiny, other, broken, None, "", sentence(rng)]
+    texts = ["start here: " + long.upper().replace(" ", ": <", 3) + "_end", long[: len(long) // 4], f"so {short} it", tiny, other, broken, None, "", sentence(rng)]
     made_docs = spark.createDataFrame([(i, t, "item") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(made_docs, benchmark).collect()}
     assert set(found) == {(0, 1), (2, 2), (4, 4)}

@@ -25,7 +25,8 @@ UNITS = "mm|cm|km|m|mg|g|kg|t|ml|l|s|ms|min|h|hours?|minutes?|seconds?|days?|wee
 def template(text: Column, values: bool = False) -> Column:
     """Space-separated template words; with values, a placeholder keeps what it stands for after a colon."""
     keep = (lambda g: f":${g}") if values else (lambda g: "")
-    t = F.coalesce(text.cast("string"), F.lit(""))
+    # The marks of placeholders are no part of a text's own words.
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>:_", "    ")
     t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<name" + (":$0" if values else "") + ">")
     t = F.lower(t)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}<:])(\p{Nd}+)(?:[.,](\p{Nd}+))?(?:\x20?(" + UNITS + r"))?(?![\p{L}\p{N}])", "<num" + (":$1_$2" if values else "") + "> <unit" + keep(3) + ">")
