@@ -186,7 +186,7 @@ def test_links_are_whole_however_shards_are_dealt(spark, limit):
             for b in values:
                 if (a ^ b).bit_count() <= 3 and label[b] < label[a]:
                     label[a], changed = label[b], True
-    edges = simhash.links(spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long"), 3, limit)
+    edges = simhash.links(spark.createDataFrame([(0, simhash._signed(v)) for v in values], "view int, fp long"), 3, limit)
     found = {r.node: r.component for r in simhash.components(edges).collect()}
     ours, theirs = {}, {}
     for v in values:

@@ -166,16 +166,17 @@ def _deal(free: list[int], blocks: int) -> list[list[int]]:
 
 
 def links(prints: DataFrame, radius: int = 3, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints, column fp, that differ in at most radius bits.
+    """Spanning links (view, a, b) among distinct fingerprints, columns view and fp, of one view each, that
+    differ in at most radius bits.
 
-    Exact. A row is (path, key, fp): path numbers the blocks chosen so far, key hashes the path and
-    the bits agreed on. Shards over limit are dealt again over the bits they have left.
+    Exact. A row is (view, path, key, fp): path numbers the blocks chosen so far, key hashes the view, the path
+    and the bits agreed on. Shards over limit are dealt again over the bits they have left.
     """
     spark = prints.sparkSession
     ship(spark)
     out = None
     paths: dict[str, list[int]] = {"": list(range(64))}
-    rows = prints.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("key"), F.col("fp"))
+    rows = prints.select("view", F.lit("").alias("path"), F.col("view").cast("long").alias("key"), "fp")
     while True:
         arms, deeper = [], {}
         for path, free in paths.items():
@@ -185,8 +186,8 @@ def links(prints: DataFrame, radius: int = 3, limit: int = SHARD_LIMIT) -> DataF
                 arms.append((path, name, mask))
                 deeper[name] = [b for b in free if b not in set(block)]
         choose = F.create_map(*[x for path in paths for x in (F.lit(path), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).cast("long").alias("m")) for p, n, m in arms if p == path]))])
-        dealt = rows.select("fp", "key", F.explode(choose[F.col("path")]).alias("arm")).select(
-            F.col("arm.n").alias("path"), F.xxhash64("key", "arm.n", F.col("fp").bitwiseAND(F.col("arm.m"))).alias("key"), "fp"
+        dealt = rows.select("view", "fp", "key", F.explode(choose[F.col("path")]).alias("arm")).select(
+            "view", F.col("arm.n").alias("path"), F.xxhash64("key", "arm.n", F.col("fp").bitwiseAND(F.col("arm.m"))).alias("key"), "fp"
         )
         sizes = dealt.groupBy("path", "key").agg(F.count("*").alias("n"))
         more = all(len(free) > 2 * (radius + 1) for free in deeper.values())
@@ -200,7 +201,7 @@ def links(prints: DataFrame, radius: int = 3, limit: int = SHARD_LIMIT) -> DataF
         if not n_large:
             return out
         # Long shards are rare; their rows alone go on, each to one more level of blocks.
-        rows = materialize(dealt.join(large.select("path", "key"), ["path", "key"], "left_semi"), "deeper")
+        rows = materialize(dealt.join(large.select("path", "key"), ["path", "key"], "left_semi").select("view", "path", "key", "fp"), "deeper")
         paths = {r.path: deeper[r.path] for r in large.select("path").distinct().collect()}
 
 
@@ -208,21 +209,24 @@ def _search(dealt: DataFrame, radius: int) -> DataFrame:
     """Sorts each task's rows by shard and searches one shard's tree at a time."""
 
     def run(batches):
-        current, values = None, []
+        current, view, values = None, None, []
 
         def flush():
             pairs = shard_links(values, radius) if len(values) > 1 else []
-            return [pa.RecordBatch.from_arrays([pa.array([_signed(x) for x, _ in pairs], pa.int64()), pa.array([_signed(y) for _, y in pairs], pa.int64())], names=["a", "b"])] if pairs else []
+            if not pairs:
+                return []
+            columns = [pa.array([view] * len(pairs), pa.int32()), *(pa.array([_signed(x) for x in side], pa.int64()) for side in zip(*pairs))]
+            return [pa.RecordBatch.from_arrays(columns, names=["view", "a", "b"])]
 
         for batch in batches:
-            for key, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, v, fp in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != current:
                     yield from flush()
-                    current, values = key, []
+                    current, view, values = key, v, []
                 values.append(fp & 0xFFFFFFFFFFFFFFFF)
         yield from flush()
 
-    return dealt.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    return dealt.select("key", F.col("view").cast("int").alias("view"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "view int, a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -253,7 +257,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: i
     """
     prints = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", width, "fp"), "fingerprints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    reach = components(materialize(links(least.select("fp"), radius), "links"))
+    reach = components(materialize(links(least.select(F.lit(0).alias("view"), "fp"), radius).select("a", "b"), "links"))
     tops = least.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     tops = materialize(tops, "tops")
     roots = materialize(tops.groupBy("component").agg(F.min("least").alias("component_id")), "roots")
@@ -269,18 +273,22 @@ def wide_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     """
     prints = materialize(views(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n_views, width), "views")
     classes = materialize(prints.groupBy("fps").agg(F.min("doc_id").alias("class")), "classes")
-    edges = None
-    for v in range(n_views):
-        fp = F.col("fps")[v].alias("fp")
-        top = materialize(classes.groupBy(fp).agg(F.min("class").alias("top")), f"view-{v}")
-        star = classes.select("class", fp).join(top, "fp").where("class <> top").select(F.col("class").alias("a"), F.col("top").alias("b"))
-        near = links(top.select("fp"), radius)
-        for side in "ab":
-            near = near.join(top.select(F.col("fp").alias(side), F.col("top").alias(f"top_{side}")), side)
-        both = materialize(star.unionByName(near.select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))), f"edges-{v}")
-        edges = both if edges is None else edges.unionByName(both)
-    reach = components(edges)
-    named = materialize(classes.join(reach.withColumnRenamed("node", "class"), "class", "left").select("fps", F.coalesce("component", "class").alias("component_id")), "named")
+    seen = classes.select("class", F.posexplode("fps").alias("view", "fp"))
+    tops = materialize(seen.groupBy("view", "fp").agg(F.min("class").alias("top")), "view-tops")
+    star = seen.join(tops, ["view", "fp"]).where("class <> top").select("view", F.col("class").alias("a"), F.col("top").alias("b"))
+    near = materialize(links(tops.select("view", "fp"), radius), "view-links")
+    for side in "ab":
+        near = near.join(tops.select("view", F.col("fp").alias(side), F.col("top").alias(f"top_{side}")), ["view", side])
+    edges = materialize(star.unionByName(near.select("view", F.col("top_a").alias("a"), F.col("top_b").alias("b"))), "view-edges")
+    # The first view's components are contracted before the others' edges, most of which they hold already.
+    first = components(edges.where("view = 0"), "first")
+    rest = edges.where("view > 0").select("a", "b")
+    for side in "ab":
+        rest = rest.join(first.select(F.col("node").alias(side), F.col("component").alias(f"top_{side}")), side, "left").withColumn(side, F.coalesce(f"top_{side}", side)).select("a", "b")
+    then = components(materialize(rest.where("a <> b").distinct(), "rest"), "then")
+    named = classes.join(first.select(F.col("node").alias("class"), F.col("component").alias("c")), "class", "left").withColumn("c", F.coalesce("c", "class"))
+    named = materialize(named, "named-first").join(then.select(F.col("node").alias("c"), "component"), "c", "left")
+    named = materialize(named.select("fps", F.coalesce("component", "c").alias("component_id")), "named")
     return prints.join(named, "fps").select("doc_id", "component_id")
 
 
