@@ -57,15 +57,6 @@ def test_resolution_is_one_shuffle_and_pushes_keys_only(spark, tmp_path):
     assert "p_name" not in re.search(r"ReadSchema: (\S+)", pruned)[1]
 
 
-def test_merge_is_one_scan_and_one_shuffle(spark, tmp_path):
-    scenarios.part_log(spark, DATA).write.parquet(str(tmp_path / "log"))
-    from tidemark.operators import merge
-
-    log = spark.read.parquet(str(tmp_path / "log"))
-    text = plan(merge.three_way_scan(log, [scenarios.MAIN], [scenarios.MAIN], scenarios.CHAIN2, scenarios.PK, scenarios.VALUES))
-    assert text.count("FileScan") == 1 and len(re.findall(r"Exchange \w+partitioning", text)) == 1 and "Join" not in text
-
-
 def test_a_value_filter_below_the_choice_would_be_wrong(spark):
     """The hazards that the order of choice, tombstones and filters guards against."""
     log = scenarios.part_log(spark, DATA)

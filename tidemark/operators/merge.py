@@ -9,11 +9,10 @@ A row with a conflict has no merged row. Presence is a flag of its own, so rows
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import DELETE, INSERT, UPDATE, same_row
-from tidemark.plans.resolve import Chain, priority, segment_filter
+from tidemark.plans.resolve import Chain, winners
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, pk: list[str], values: list[str]) -> DataFrame:
@@ -24,21 +23,10 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, pk: list[str]
 
 
 def three_way_scan(log: DataFrame, base: Chain, ours: Chain, theirs: Chain, pk: list[str], values: list[str]) -> DataFrame:
-    """As three_way, from the log itself: one scan and one shuffle by key.
-
-    A version goes to each side whose chain shows it; sides are resolved and then set side by side within the
-    partitioning by key.
-    """
-    chains = {"b": base, "a": ours, "t": theirs}
-    seen = F.array_compact(F.array(*[F.when(segment_filter(c), F.struct(F.lit(p).alias("side"), priority(c).alias("prio"))) for p, c in chains.items()]))
-    whole = segment_filter(list(dict.fromkeys([*base, *ours, *theirs]))) & F.col("session_id").isNull()
-    rows = log.where(whole).select(*pk, "seq_from", "op", *values, F.explode(seen).alias("s")).repartition(*[F.col(k) for k in pk])
-    rows = rows.select(*pk, "seq_from", "op", *values, F.col("s.side").alias("__side"), F.col("s.prio").alias("__prio"))
-    nearest = W.partitionBy(*pk, "__side").orderBy(F.col("__prio"), F.col("seq_from").desc())
-    live = rows.withColumn("__rn", F.row_number().over(nearest)).where("__rn = 1").where(F.col("op") != DELETE)
-    one = lambda p: F.first(F.when(F.col("__side") == p, F.struct(F.lit(True).alias("live"), *values)), ignorenulls=True).alias(p)
-    found = live.groupBy(*pk).agg(*[one(p) for p in chains])
-    return found.select(*pk, *[F.coalesce(F.col(f"{p}.live"), F.lit(False)).alias(f"__{p}") for p in chains], *[F.col(f"{p}.{v}").alias(f"{p}_{v}") for p in chains for v in values])
+    """As three_way, from the log itself, after one repartition by key, which the resolutions and the first join reuse."""
+    keyed = log.repartition(*[F.col(k) for k in pk])
+    state = lambda chain: winners(keyed, chain, pk).where(F.col("op") != DELETE)
+    return three_way(state(base), state(ours), state(theirs), pk, values)
 
 
 def judge(sides: DataFrame, pk: list[str], values: list[str]) -> DataFrame:

@@ -329,7 +329,7 @@ def merge_resolutions(spark, sf_dir):
 @query(f"""SELECT p_partkey, op, p_brand, p_retailprice FROM (SELECT x.p_partkey, x.p_brand, x.p_retailprice, CASE WHEN x.p_partkey IS NOT NULL AND (x.p_brand <> p.p_brand OR x.p_retailprice <> p.p_retailprice) THEN 2 END AS op FROM ({_B2}) x JOIN part p USING (p_partkey)
  UNION ALL SELECT p_partkey, NULL, NULL, 3 FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM ({_B2}))) WHERE op IS NOT NULL""")
 def merge_from_log(spark, sf_dir):
-    """b2 merged into main, against main: one scan of the log and one repartition by key."""
+    """b2 merged into main, against main, from the log."""
     sides = merge.three_way_scan(part_log(spark, sf_dir), [MAIN], [MAIN], CHAIN2, PK, VALUES)
     return merge.merge_changes(merge.judge(sides, PK, VALUES), PK, VALUES).select("p_partkey", "op", "p_brand", "p_retailprice")
 
