@@ -19,11 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import materialize, ship
 
 SEED = 42
 SHARD_LIMIT = 4096
+#: Near copies share LEAST of their distinct shingles of EXACT_WIDTH words.
+EXACT_WIDTH = 5
+LEAST = 0.8
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -82,19 +86,41 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str =
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def views(docs: DataFrame, n: int, width: int) -> DataFrame:
-    """doc_id and fps, the fingerprints of n views of each whole text."""
+def _set_of(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of EXACT_WIDTH words, in order."""
+    return np.unique(shingle_hashes(text, EXACT_WIDTH))
+
+
+def sketches(docs: DataFrame, n: int, width: int) -> DataFrame:
+    """id, tk, class (hash of the text's set of shingles of EXACT_WIDTH words), size of that set, and fps, the
+    fingerprints of n views of each whole text. Takes id, tk and text."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for t in batch.column(1):
+            fps, names, sizes = [], [], []
+            for t in batch.column(2):
                 h = shingle_hashes(t.as_py(), width)
-                out.append([_signed(fingerprint(rehashed(h, v))) for v in range(n)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+                fps.append([_signed(fingerprint(rehashed(h, v))) for v in range(n)])
+                exact = _set_of(t.as_py())
+                names.append(_signed(xxhash.xxh64_intdigest(exact.tobytes(), SEED)))
+                sizes.append(len(exact))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "tk", "class", "size", "fps"])
+
+    schema = docs.select("id", "tk").schema.add("class", "long").add("size", "long").add("fps", T.ArrayType(T.LongType()))
+    return docs.select("id", "tk", "text").mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """class and shingles, the set of the text's shingles of EXACT_WIDTH words."""
+    ship(docs.sparkSession)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<long>")
+    def run(batches):
+        for batch in batches:
+            sets = [_set_of(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
+
+    return docs.select("class", "text").mapInArrow(run, "class long, shingles array<long>")
 
 
 class BKTree:
@@ -265,34 +291,54 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: i
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def wide_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
-    """doc_id and component_id (least id reachable): documents link where any view's fingerprints do.
-
-    One view finds a pair of similarity 0.8 in some of the cases only. Views hash the same shingles anew, so
-    more of them find more such pairs and keep the radius, which is what bounds the shards.
-    """
-    prints = materialize(views(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n_views, width), "views")
-    classes = materialize(prints.groupBy("fps").agg(F.min("doc_id").alias("class")), "classes")
+def candidate_links(classes: DataFrame, radius: int) -> DataFrame:
+    """Spanning links (a, b) of classes that any view's fingerprints link."""
     seen = classes.select("class", F.posexplode("fps").alias("view", "fp"))
     tops = materialize(seen.groupBy("view", "fp").agg(F.min("class").alias("top")), "view-tops")
-    star = seen.join(tops, ["view", "fp"]).where("class <> top").select("view", F.col("class").alias("a"), F.col("top").alias("b"))
+    star = seen.join(tops, ["view", "fp"]).where("class <> top").select(F.col("class").alias("a"), F.col("top").alias("b"))
     near = materialize(links(tops.select("view", "fp"), radius), "view-links")
     for side in "ab":
         near = near.join(tops.select("view", F.col("fp").alias(side), F.col("top").alias(f"top_{side}")), ["view", side])
-    edges = materialize(star.unionByName(near.select("view", F.col("top_a").alias("a"), F.col("top_b").alias("b"))), "view-edges")
-    # The first view's components are contracted before the others' edges, most of which they hold already.
-    first = components(edges.where("view = 0"), "first")
-    rest = edges.where("view > 0").select("a", "b")
+    return star.unionByName(near.select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """a, b and their exact Jaccard similarity over sets of shingles. rows has class, id, tk and text of one row of each class at least."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = materialize(shingle_sets(rows.join(wanted, "class", "left_semi")).dropDuplicates(["class"]), f"{name}-sets")
+    both = pairs
     for side in "ab":
-        rest = rest.join(first.select(F.col("node").alias(side), F.col("component").alias(f"top_{side}")), side, "left").withColumn(side, F.coalesce(f"top_{side}", side)).select("a", "b")
-    then = components(materialize(rest.where("a <> b").distinct(), "rest"), "then")
-    named = classes.join(first.select(F.col("node").alias("class"), F.col("component").alias("c")), "class", "left").withColumn("c", F.coalesce("c", "class"))
-    named = materialize(named, "named-first").join(then.select(F.col("node").alias("c"), "component"), "c", "left")
-    named = materialize(named.select("fps", F.coalesce("component", "c").alias("component_id")), "named")
-    return prints.join(named, "fps").select("doc_id", "component_id")
+        both = both.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
+    return materialize(both.select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity")), name)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
+    """id, tk (hash of the text) and component of every row; components join pairs of similarity LEAST or more.
+
+    Fingerprints only propose pairs; each counts by its exact Jaccard similarity over sets of shingles of
+    EXACT_WIDTH words. Texts without words have the same, empty set.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tk"), F.col(text).cast("string").alias("text"))
+    prints = materialize(sketches(rows, n_views, width), "views")
+    classes = materialize(prints.groupBy("class").agg(F.min("fps").alias("fps"), F.first("size").alias("size"), F.min(F.struct(F.col("id").isNull(), "id", "tk")).alias("row")), "classes")
+    holders = classes.select("class", F.col("row.id").alias("h_id"), F.col("row.tk").alias("h_tk"))
+    pairs = materialize(_pairs(candidate_links(classes, radius)), "pairs")
+    wanted = holders.join(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "class", "left_semi")
+    texts = rows.join(wanted, (F.col("tk") == F.col("h_tk")) & F.col("id").eqNullSafe(F.col("h_id"))).select("class", "text")
+    sure = verified(pairs, texts, "similar").where(F.col("similarity") >= LEAST - 1e-9)
+    named = components(sure.select("a", "b"), "copies").withColumnRenamed("node", "class")
+    return prints.join(named, "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs whose id is the least of its group; of rows that repeat an id, one stays."""
-    stay = wide_groups(docs, id_col, text, width, n_views, radius).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    """One row of docs for each component of near copies: the one with the least id, null last, then the least hash of its text."""
+    found = near_copies(docs, id_col, text, width, n_views, radius)
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tk")).alias("row")).select(F.col("row.id").alias("__id"), F.col("row.tk").alias("__tk"))
+    tk = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    kept = docs.join(materialize(stay, "stay"), (tk == F.col("__tk")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    return kept.dropDuplicates(["__id", "__tk"]).select(*docs.columns)
