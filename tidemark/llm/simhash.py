@@ -17,17 +17,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, ship
+from tidemark.llm.common import materialize, ship, slices_of
 
 SEED = 42
 SHARD_LIMIT = 4096
 #: Near copies share LEAST of their distinct shingles of EXACT_WIDTH words.
 EXACT_WIDTH = 5
 LEAST = 0.8
+#: Bands of min-hashes that propose pairs, and min-hashes in each. A pair of similarity LEAST agrees on no band
+#: with a chance of (1 - 0.8 ** 4) ** 32, 5e-8.
+BANDS, IN_BAND = 32, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * IN_BAND, 1), dtype=np.uint64) | np.array([0, 1], dtype=np.uint64).reshape(2, 1, 1)
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -91,23 +95,35 @@ def _set_of(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, EXACT_WIDTH))
 
 
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """One hash per band of the min-hashes of a set; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * IN_BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, ((hashes[at : at + 512] ^ _MIX[0]) * _MIX[1]).min(axis=1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(band.tobytes(), SEED + i) for i, band in enumerate(least.reshape(BANDS, IN_BAND))], dtype=np.uint64).view(np.int64)
+
+
 def sketches(docs: DataFrame, n: int, width: int) -> DataFrame:
-    """id, tk, class (hash of the text's set of shingles of EXACT_WIDTH words), size of that set, and fps, the
-    fingerprints of n views of each whole text. Takes id, tk and text."""
+    """id, tk, class (hash of the text's set of shingles of EXACT_WIDTH words), size and bands of that set, and
+    fps, the fingerprints of n views of each whole text. Takes id, tk and text."""
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            fps, names, sizes = [], [], []
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices_of(whole.column(2))):
+            fps, names, sizes, bands = [], [], [], []
             for t in batch.column(2):
                 h = shingle_hashes(t.as_py(), width)
                 fps.append([_signed(fingerprint(rehashed(h, v))) for v in range(n)])
                 exact = _set_of(t.as_py())
                 names.append(_signed(xxhash.xxh64_intdigest(exact.tobytes(), SEED)))
                 sizes.append(len(exact))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "tk", "class", "size", "fps"])
+                bands.append(bands_of(exact))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, fps))], names=["id", "tk", "class", "size", "bands", "fps"])
 
-    schema = docs.select("id", "tk").schema.add("class", "long").add("size", "long").add("fps", T.ArrayType(T.LongType()))
+    schema = docs.select("id", "tk").schema.add("class", "long").add("size", "long").add("bands", T.ArrayType(T.LongType())).add("fps", T.ArrayType(T.LongType()))
     return docs.select("id", "tk", "text").mapInArrow(run, schema)
 
 
@@ -117,8 +133,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [_set_of(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
+            for a, b in slices_of(batch.column(1)):
+                sets = [_set_of(t.as_py()).view(np.int64) for t in batch.column(1)[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
 
     return docs.select("class", "text").mapInArrow(run, "class long, shingles array<long>")
 
@@ -306,10 +323,42 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """a, b and their exact Jaccard similarity over sets of shingles. rows has class, id, tk and text of one row of each class at least."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = materialize(shingle_sets(rows.join(wanted, "class", "left_semi")).dropDuplicates(["class"]), f"{name}-sets")
+def band_members(classes: DataFrame) -> DataFrame:
+    """key, class, size, top and top_size of every class that shares a band; top is the least class of the band."""
+    spread = classes.select(F.explode("bands").alias("key"), "class", "size")
+    tops = spread.groupBy("key").agg(F.min(F.struct("class", "size")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    return materialize(spread.join(tops, "key").select("key", "class", "size", F.col("top.class").alias("top"), F.col("top.size").alias("top_size")), "bands")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Sets of these sizes can have a similarity of LEAST."""
+    return F.least(a, b) >= (LEAST - 1e-9) * F.greatest(a, b)
+
+
+def open_pairs(members: DataFrame, judged: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) in bands of several components that are not judged, lie in different ones and can reach LEAST.
+
+    Two sets of n shingles or more can reach LEAST only where they share one of the n - LEAST * n + 1 that are
+    rarest among these classes, so only those are joined; shingles that a class has alone take places and join nothing.
+    """
+    label = named.select(F.col("node").alias("class"), "component")
+    rows = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+    left = materialize(rows.join(split, "key", "left_semi").select("class", "component", "size").distinct(), "open")
+    words = left.join(sets, "class").select("class", "component", "size", F.explode("shingles").alias("s"))
+    common = words.join(words.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
+    whole, ordered = Window.partitionBy("class"), Window.partitionBy("class").orderBy("df", "s")
+    places = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-9) + 1 - (F.col("size") - F.count("*").over(whole))
+    rare = common.withColumn("places", places).withColumn("place", F.row_number().over(ordered)).where("place <= places")
+    rare = materialize(rare.select("class", "component", "size", "s"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    may = (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.size"), F.col("y.size"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & may).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    return materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """a, b and their exact Jaccard similarity over sets of shingles."""
     both = pairs
     for side in "ab":
         both = both.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
@@ -320,19 +369,28 @@ def verified(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
     """id, tk (hash of the text) and component of every row; components join pairs of similarity LEAST or more.
 
-    Fingerprints only propose pairs; each counts by its exact Jaccard similarity over sets of shingles of
-    EXACT_WIDTH words. Texts without words have the same, empty set.
+    Fingerprints and bands of min-hashes only propose pairs; each counts by its exact Jaccard similarity over
+    sets of shingles of EXACT_WIDTH words. First every member of a band is held against the band's top, then the
+    members that are still apart against each other. Texts without words have the same, empty set.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tk"), F.col(text).cast("string").alias("text"))
     prints = materialize(sketches(rows, n_views, width), "views")
-    classes = materialize(prints.groupBy("class").agg(F.min("fps").alias("fps"), F.first("size").alias("size"), F.min(F.struct(F.col("id").isNull(), "id", "tk")).alias("row")), "classes")
-    holders = classes.select("class", F.col("row.id").alias("h_id"), F.col("row.tk").alias("h_tk"))
-    pairs = materialize(_pairs(candidate_links(classes, radius)), "pairs")
-    wanted = holders.join(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "class", "left_semi")
-    texts = rows.join(wanted, (F.col("tk") == F.col("h_tk")) & F.col("id").eqNullSafe(F.col("h_id"))).select("class", "text")
-    sure = verified(pairs, texts, "similar").where(F.col("similarity") >= LEAST - 1e-9)
-    named = components(sure.select("a", "b"), "copies").withColumnRenamed("node", "class")
-    return prints.join(named, "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
+    classes = prints.groupBy("class").agg(F.min("fps").alias("fps"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull(), "id", "tk")).alias("row"))
+    classes = materialize(classes, "classes")
+    members = band_members(classes)
+    tops = members.where(_alike(F.col("size"), F.col("top_size"))).select(F.col("class").alias("a"), F.col("top").alias("b"))
+    pairs = materialize(_pairs(candidate_links(classes, radius).unionByName(tops)), "pairs")
+    wanted = members.select("class").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    holders = classes.join(wanted, "class", "left_semi").select("class", F.col("row.id").alias("h_id"), F.col("row.tk").alias("h_tk"))
+    texts = rows.join(holders, (F.col("tk") == F.col("h_tk")) & F.col("id").eqNullSafe(F.col("h_id"))).select("class", "text")
+    sets = materialize(shingle_sets(texts).dropDuplicates(["class"]), "sets")
+    judged = verified(pairs, sets, "similar")
+    sure = judged.where(F.col("similarity") >= LEAST - 1e-9).select("a", "b")
+    named = components(sure, "copies")
+    later = verified(open_pairs(members, judged, named, sets), sets, "similar-later").where(F.col("similarity") >= LEAST - 1e-9).select("a", "b")
+    if not later.isEmpty():
+        named = components(sure.unionByName(later), "all-copies")
+    return prints.join(named.withColumnRenamed("node", "class"), "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
