@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 
 EXAMPLE_OWNERS = 5
-#: Kinds in listed order: pattern, group of the value, least length of the value, cheap test that a match needs.
+#: Kinds in listed order: pattern, group of the value, least length of the value, cheap test that every match passes.
 #: Runs of fewer characters than the least can be left out of the search for access and hex: a run that fails
 #: has no part that passes.
 KINDS = (
-    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"""(?i)(?:passw|secret|token|api_?key)[^:=]{0,99}[:=]"""),
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16, None),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32, None),
 )
