@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_sample, ship, slices_of
+from tidemark.llm.common import draw, keep_only, ship, slices_of
 
 SEGMENT = 128
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _BATCH = 2048
 
 
@@ -190,41 +190,54 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def has_letter(text: str | None) -> bool:
+    """Any character of the Unicode categories L*; superscripts, fractions and number forms are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text or ""))
+
+
 def train(labelled: DataFrame, sample: int = 1500, per_document: int = 6, hidden: int = 8, steps: int = 240) -> Network | None:
-    """Fits a network to the sample documents (text, lang) with the least hash of their text.
+    """Fits a network to the sample documents (text, lang) with the least hash, equal ones once.
 
-    sample is the documented bound on what reaches the driver. None where no labelled text has a letter.
+    sample is the documented bound; per_document segments of SEGMENT bytes of each reach the driver. None where no
+    labelled text has a letter.
     """
-    rows = hash_sample(labelled.where("text is not null and lang is not null").select("text", "lang"), ["text", "lang"], sample).collect()
-    rows = [r for r in rows if _LETTER.search(r.text)]
+
+    def segments(text: str, h: int) -> bytes:
+        if not has_letter(text):
+            return b""
+        b = text.encode("utf-8", "surrogatepass")
+        b = b * (-(-SEGMENT // len(b))) if len(b) < SEGMENT else b
+        at = np.random.default_rng(h).integers(0, len(b) - SEGMENT + 1, per_document if len(b) > SEGMENT else 1)
+        return b"".join(b[k : k + SEGMENT] for k in at.tolist())
+
+    rows = [r for r in draw(labelled.where("text is not null and lang is not null").select("text", "lang"), ["text", "lang"], sample, segments, ("lang",)) if r.blob]
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
-    rng = np.random.default_rng(3)
-    data, target = [], []
-    for r in rows:
-        b = r.text.encode("utf-8", "surrogatepass")
-        b = b * (-(-SEGMENT // len(b))) if len(b) < SEGMENT else b
-        for _ in range(per_document if len(b) > SEGMENT else 1):
-            k = int(rng.integers(0, len(b) - SEGMENT + 1))
-            data.append(np.frombuffer(b[k : k + SEGMENT], dtype=np.uint8))
-            target.append(langs.index(r.lang))
+    data = [np.frombuffer(r.blob, dtype=np.uint8).reshape(-1, SEGMENT) for r in rows]
+    target = np.repeat([langs.index(r.lang) for r in rows], [len(d) for d in data])
     network = Network(langs, hidden)
-    network.fit(np.stack(data), np.array(target), steps=steps)
+    network.fit(np.concatenate(data), target, steps=steps)
     return network
 
 
 def predict(docs: DataFrame, network: Network | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the columns out to every row, in place of any of those names; no shuffle. und with score 0 where text is null or has no letter."""
+    """Adds the columns out to every row, in place of any of those names; no shuffle.
+
+    und with score 0 where text is null, empty or has no letter, or where there is no network. Of languages that tie
+    the first by name is taken. Rows that repeat stay repeated and have equal results; an empty table gives no rows.
+    Texts run in slices of about 0.5 MB; a longer one makes a slice by itself, and its segments run 2048 at a time.
+    """
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in out]
 
     def run(batches):
+        keep_only()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b in slices_of(texts, 1 << 19):
                 part = texts.slice(a, b - a).to_pylist()
-                known = [bool(t) and network is not None and bool(_LETTER.search(t)) for t in part]
+                known = [network is not None and has_letter(t) for t in part]
                 p = network.documents([t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(part, known)]) if network else np.zeros((len(part), 1))
                 best = p.argmax(axis=1)
                 langs = [network.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known)]

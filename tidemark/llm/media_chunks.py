@@ -1,13 +1,13 @@
 """Media payloads stored as content-defined chunks.
 
-A rolling gear hash over the last 32 bytes cuts a payload where its low bits are zero. Chunks are named by
-their SHA-256; a chunk that many payloads share is stored once. The media object of a payload is its chunk
-list:
+A rolling gear hash over the last 32 bytes cuts a payload where its high bits are zero, into chunks small enough
+that a text of a few pages has several. Chunks are named by their SHA-256; a chunk that many payloads share is
+stored once. The media object of a payload is its chunk list:
 
     magic "TMCH1" | i64 payload bytes | u32 chunks | per chunk: 32-byte digest, u32 bytes
 
-and the payload is read back by joining chunk lists with the written chunk table and joined chunks are
-verified against the list and the payload's own digest.
+The payload is read back from the stored list by joining it with the written chunk table; the chunks are verified
+against the list, and the whole against the payload's own digest.
 """
 
 from __future__ import annotations
@@ -23,12 +23,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_sample, materialize, shared_dir, ship, shuffle_cleanup, slices_of
+from tidemark.llm.common import _at, draw, hot_rows, join_hot, keep_only, materialize, release, shared_dir, ship, shuffle_cleanup, slices_of
 
 MAGIC = b"TMCH1"
 UNIT = 64
-LEAST, MEAN_BITS, MOST = 4 << 10, 13, 64 << 10
+LEAST, MEAN_BITS, MOST = 512, 10, 8 << 10
 WINDOW = 32
+LEVEL = 19
+#: Payloads are read back in so many rounds: chunks on their way take that share of the disk.
+ROUNDS = 4
+#: Bytes of a sample text's block for the dictionary, and blocks of a text.
+BLOCK, BLOCKS = 2048, 32
+#: Chunks broadcast at most when payloads are read back: 32 MB.
+HOT_CHUNKS = 4096
 
 
 def _gear() -> np.ndarray:
@@ -96,9 +103,17 @@ def feature_of(payload: bytes) -> str:
 
 
 def _dictionary(docs: DataFrame, sample: int = 400, size: int = 96 << 10) -> bytes:
-    """A compression dictionary over the sample texts with the least hash; it shapes the stored size alone."""
-    rows = hash_sample(docs.where("length(text) > 0").select("text"), ["text"], sample).collect()
-    blocks = [b[i : i + 2048] for r in rows for b in [r.text.encode("utf-8", "surrogatepass")] for i in range(0, len(b), 2048)]
+    """A compression dictionary over the sample texts with the least hash, equal ones once; it shapes the stored size alone.
+
+    Of a text, BLOCKS blocks at most, spread over all of it, reach the driver.
+    """
+
+    def spread(text: str, h: int) -> bytes:
+        raw = text.encode("utf-8", "surrogatepass")
+        n = -(-len(raw) // BLOCK)
+        return b"".join(raw[i * BLOCK : (i + 1) * BLOCK] for i in sorted({k * n // BLOCKS for k in range(BLOCKS)} if n > BLOCKS else range(n)))
+
+    blocks = [r.blob[i : i + BLOCK] for r in draw(docs.where("length(text) > 0").select("text"), ["text"], sample, spread) for i in range(0, len(r.blob), BLOCK)]
     if len(blocks) < 32:
         return b""
     try:
@@ -111,6 +126,7 @@ def index(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media_key (SHA-256 of the payload) and media (its chunk list) of every row."""
 
     def run(batches):
+        keep_only()
         for batch in batches:
             for a, b in slices_of(batch.column(1)):
                 rows = []
@@ -123,11 +139,12 @@ def index(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media_key binary, media binary")
 
 
-def _store(docs: DataFrame, dictionary: bytes, spark: SparkSession) -> str:
-    """Writes each distinct chunk once, in buckets of its digest; returns the table's name."""
+def _store(docs: DataFrame, dictionary: bytes, spark: SparkSession) -> tuple[str, str]:
+    """Writes each distinct chunk once, in buckets of its digest; returns the table's name and folder."""
 
     def run(batches):
-        compress = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
+        plain = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False)
+        compress = zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
         seen: set[bytes] = set()
         for batch in batches:
             for a, b in slices_of(batch.column(0)):
@@ -144,55 +161,75 @@ def _store(docs: DataFrame, dictionary: bytes, spark: SparkSession) -> str:
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tidemark/{name}"
     rows = docs.select("text").mapInArrow(run, "digest binary, body binary").dropDuplicates(["digest"])
     with shuffle_cleanup(spark):
-        rows.write.option("compression", "uncompressed").option("path", f"{shared_dir(spark)}/tidemark/{name}").bucketBy(buckets, "digest").saveAsTable(name)
-    return name
+        rows.write.option("compression", "uncompressed").option("path", folder).bucketBy(buckets, "digest").saveAsTable(name)
+    return name, folder
 
 
-def read_back(listed: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
-    """Rebuilds each media object from the chunk table, verifies it, and computes its columns."""
-    keys = listed.select("media_key", "media").dropDuplicates(["media_key"])
+def references(keys: DataFrame) -> DataFrame:
+    """k, pos, digest of every chunk of the stored lists (k, media_key, media); the first carries key and list."""
 
-    def spread(batches):
+    def run(batches):
         for batch in batches:
-            out = []
-            for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(key, i, d) for i, (d, _) in enumerate(unpack_list(media)[1])]
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["media_key", "pos", "digest"])
+            for i in range(0, batch.num_rows, 1024):
+                out = []
+                for k, key, media in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns)):
+                    out += [(k, n, d, None if n else key, None if n else media) for n, (d, _) in enumerate(unpack_list(media)[1])]
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["k", "pos", "digest", "media_key", "media"])
+
+    return keys.mapInArrow(run, "k long, pos int, digest binary, media_key binary, media binary")
+
+
+def read_back(keys: DataFrame, store: DataFrame, dictionary: bytes) -> DataFrame:
+    """Rebuilds each media object from its stored list and the chunk table, verifies it, and computes its columns."""
 
     def rebuild(batches):
         decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
         for batch in batches:
             rows = []
-            for key, parts in zip(batch.column(0), batch.column(1)):
-                chunks = [(p["digest"], decompress(p["body"], max_output_size=MOST)) for p in parts.as_py()]
-                payload = b"".join(c for _, c in chunks)
-                if any(hashlib.sha256(c).digest() != d for d, c in chunks) or hashlib.sha256(payload).digest() != key.as_py():
-                    raise ValueError(f"media {key.as_py().hex()} is damaged")
-                media = pack_list(len(payload), [(d, len(c)) for d, c in chunks])
-                rows.append((key.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
+            for found in batch.column(0):
+                parts = found.as_py()
+                key, media = parts[0]["media_key"], parts[0]["media"]
+                size, listed = unpack_list(media)
+                chunks = [decompress(p["body"], max_output_size=MOST) for p in parts]
+                payload = b"".join(chunks)
+                if [(hashlib.sha256(c).digest(), len(c)) for c in chunks] != listed or len(payload) != size or hashlib.sha256(payload).digest() != key:
+                    raise ValueError(f"media {key.hex()} is damaged")
+                rows.append((key, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
             cols = list(zip(*rows)) or [()] * 7
             types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["media_key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    wanted = keys.mapInArrow(spread, "media_key binary, pos int, digest binary")
-    joined = wanted.join(store, "digest").groupBy("media_key").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "body"))).alias("parts"))
-    return joined.mapInArrow(rebuild, "media_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    # A line that a third of all payloads share is one chunk.
+    hot, out = hot_rows(references(keys), store, "digest", HOT_CHUNKS), None
+    for r in range(ROUNDS):
+        joined = join_hot(references(keys.where(F.pmod("k", F.lit(ROUNDS)) == r)), store, "digest", hot)
+        whole = joined.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "media_key", "media", "body"))).alias("parts"))
+        part = materialize(whole.select("parts").mapInArrow(rebuild, "media_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"), "media-features")
+        out = part if out is None else out.unionByName(part)
+    release(hot)
+    return out
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row.
 
-    Null text counts as empty: 64 zero bytes. Equal texts share one media object, repeated rows stay
-    repeated, other columns are ignored, an empty table gives no rows.
+    Null text counts as empty: 64 zero bytes. Equal texts share one media object, null and repeated ids stay as they
+    are, other columns are ignored, an empty table gives no rows. A payload is rebuilt in memory as a whole.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = _dictionary(rows)
     listed = materialize(index(rows), "media-index")
-    store = spark.table(_store(rows, dictionary, spark))
-    features = materialize(read_back(listed, store, dictionary), "media-features")
-    return listed.select("doc_id", "n_bytes", "media_key").join(features, "media_key").drop("media_key")
+    name, folder = _store(rows, dictionary, spark)
+    keys = materialize(listed.select("media_key", "media").dropDuplicates(["media_key"]).withColumn("k", F.monotonically_increasing_id()).select("k", "media_key", "media"), "media-keys")
+    features = read_back(keys, spark.table(name), dictionary)
+    spark.sql(f"DROP TABLE {name}")
+    fs, where = _at(spark, folder)
+    fs.delete(where, True)
+    release(keys)
+    return join_hot(listed.select("doc_id", "n_bytes", "media_key"), features, "media_key").drop("media_key")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hash_sample, ship, slices_of
+from tidemark.llm.common import draw, keep_only, ship, slices_of
 
 BITS = 18
 FEATURES = 1 << BITS
@@ -94,21 +94,23 @@ def sparse_rows(texts: list[bytes], limit: int = 1 << 18) -> list[np.ndarray]:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float) -> None:
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    """A weight for each feature, and the curve from margins to scores; the fitted bias is part of its shift."""
+
+    def __init__(self, weights: np.ndarray, slope: float, shift: float) -> None:
+        self.weights, self.slope, self.shift = weights, slope, shift
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         doc, feat = indicators(texts)
-        return np.bincount(doc, weights=self.weights[feat], minlength=len(texts)) / np.sqrt(np.maximum(np.bincount(doc, minlength=len(texts)), 1)) + self.bias
+        return np.bincount(doc, weights=self.weights[feat], minlength=len(texts)) / np.sqrt(np.maximum(np.bincount(doc, minlength=len(texts)), 1))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, passes: int, seed: int) -> np.ndarray:
-    """Dual coordinate descent for the hinge loss; the last weight is the bias."""
+def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, passes: int, seed: int, size: int = FEATURES + 1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and dual variables by dual coordinate descent for the hinge loss."""
     rng = np.random.default_rng(seed)
-    w, alpha = np.zeros(FEATURES + 1), np.zeros(len(y))
+    w, alpha = np.zeros(size), np.zeros(len(y))
     norm = np.array([float((v * v).sum()) for v in values])
     for _ in range(passes):
         moved = 0.0
@@ -121,34 +123,41 @@ def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, co
                 alpha[i] = new
         if moved < 1e-4:
             break
-    return w
+    return w, alpha
+
+
+def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, size: int = FEATURES) -> np.ndarray:
+    """Of each feature: the log of its share of all indicators of label 1 over its share of those of label 0, each count plus one."""
+    p, q = np.ones(size), np.ones(size)
+    for row, label in zip(rows, labels):
+        (p if label == 1 else q)[row] += 1
+    return np.log((p / p.sum()) / (q / q.sum()))
+
+
+def fit(texts: list[bytes], labels: np.ndarray, **options) -> Model:
+    return fit_rows(sparse_rows(texts), labels, **options)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, c: float = 1.0, blend: float = 0.25, passes: int = 12, seed: int = 5) -> Model:
-    """Labels are 0 and 1. With one class alone every score is that class."""
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, blend: float = 0.25, passes: int = 12, seed: int = 5) -> Model:
+    """rows are the features of each text. Labels are 0 and 1. With one class alone every score is that class."""
     if len(set(labels.tolist())) < 2:
         sure = 4.0 if len(labels) and labels[0] == 1 else -4.0 if len(labels) else 0.0
-        return Model(np.zeros(FEATURES), 0.0, 0.0, sure)
-    rows = sparse_rows(texts)
-    held = np.arange(len(texts)) % 4 == 3
+        return Model(np.zeros(FEATURES), 0.0, sure)
+    held = np.arange(len(rows)) % 4 == 3
     if len(set(labels[~held].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
-        held = np.zeros(len(texts), dtype=bool)
+        held = np.zeros(len(rows), dtype=bool)
     use = np.flatnonzero(~held)
-    p, q = np.ones(FEATURES), np.ones(FEATURES)
-    for i in use:
-        (p if labels[i] == 1 else q)[rows[i]] += 1
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    ratio = log_count_ratio([rows[i] for i in use], labels[use])
     y = np.where(labels == 1, 1.0, -1.0)
     share = np.array([(y[use] < 0).mean(), (y[use] > 0).mean()])
     scale = [1 / np.sqrt(max(len(r), 1)) for r in rows]
-    w = _descend([np.append(rows[i], np.int32(FEATURES)) for i in use], [np.append(ratio[rows[i]] * scale[i], 1.0).astype(np.float32) for i in use], y[use], c * np.where(y[use] > 0, share[0], share[1]) * 2, passes, seed)
+    # The last feature is the bias.
+    w, _ = _descend([np.append(rows[i], np.int32(FEATURES)) for i in use], [np.append(ratio[rows[i]] * scale[i], 1.0).astype(np.float32) for i in use], y[use], c * np.where(y[use] > 0, share[0], share[1]) * 2, passes, seed)
     mean = np.abs(w[:-1]).sum() / max(1, np.count_nonzero(w[:-1]))
     weights = ((1 - blend) * mean * (w[:-1] != 0) + blend * w[:-1]) * ratio
-    model = Model(weights, 0.0, 1.0, 0.0)
     calibrate = np.flatnonzero(held) if held.any() else use
     m = np.array([float(weights[rows[i]].sum()) * scale[i] for i in calibrate])
-    model.slope, model.shift = _logistic(m, (y[calibrate] + 1) / 2)
-    return model
+    return Model(weights, *_logistic(m, (y[calibrate] + 1) / 2))
 
 
 def _logistic(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
@@ -169,19 +178,33 @@ def _logistic(m: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 
 
 def train(labelled: DataFrame, sample: int = 4000) -> Model:
-    """Fits to the sample rows (text, label) with the least hash of their text; sample is the documented bound."""
-    rows = hash_sample(labelled.where("text is not null and label is not null").select("text", F.col("label").cast("int").alias("label")), ["text", "label"], sample).collect()
-    return fit([r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([r.label for r in rows], dtype=np.int64))
+    """Fits to the sample rows (text, label) with the least hash, equal rows once; null texts and labels are left out.
+
+    sample is the documented bound on labelled rows. The executors send the features of a text, at most 1 MB, not
+    the text; of the rows as many are taken as stay within 64 MB.
+    """
+    rows = draw(labelled.where("text is not null and label is not null").select("text", F.col("label").cast("int").alias("label")), ["text", "label"], sample, _features, ("label",))
+    return fit_rows([np.frombuffer(r.blob, dtype=np.int32) for r in rows], np.array([r.label for r in rows], dtype=np.int64))
+
+
+def _features(text: str, h: int) -> bytes:
+    return indicators([text.encode("utf-8", "surrogatepass")])[1].astype(np.int32).tobytes()
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
-    """Adds score and predicted to every row; no shuffle. Null text counts as empty, whose score is the curve's shift."""
+    """Adds score and predicted to every row, in place of columns of those names and of text; no shuffle.
+
+    Null text counts as empty, and a text without a word has the score of the curve's shift alone. Equal texts have
+    equal scores, rows that repeat stay repeated, and an empty table gives no rows. Texts are judged in slices of
+    about 1 MB; a longer one makes a slice by itself.
+    """
     ship(docs.sparkSession)
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("score", "predicted", "text")]
     sent = spark.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus
 
     def run(batches):
+        keep_only()
         m = sent.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, ship, slices_of
+from tidemark.llm.common import keep_only, materialize, ship, slices_of
 
 SEED = 42
 SHARD_LIMIT = 4096
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str =
     keep = [c for c in docs.columns if c not in (text, out)]
 
     def run(batches):
+        keep_only()
         for batch in batches:
             texts = batch.column(len(keep))
             values = [_signed(fingerprint(shingle_hashes(t.as_py(), width))) for t in texts]
@@ -112,6 +113,7 @@ def sketches(docs: DataFrame, n: int, width: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        keep_only()
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices_of(whole.column(2))):
             fps, names, sizes, bands = [], [], [], []
             for t in batch.column(2):

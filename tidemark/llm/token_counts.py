@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, slices_of
+from tidemark.llm.common import keep_only, kept, ship, slices_of
 
 SPACE = "▁"
 LONG = 1500
-_ENTRIES = 600_000
+#: What a worker's table of known words may hold, and the longest word in it: 600,000 of 64 characters at most.
+_ENTRIES, _LETTERS = 600_000, 64
 _NONE = np.int64(1 << 30)
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_LOADED: dict[str, MergeCounter] = {}
 
 
 class MergeCounter:
@@ -191,26 +191,32 @@ class MergeCounter:
                 split.append(t.split(" "))
         known = self.known
         missing = list(set().union(*split).difference(known))
-        fresh: dict[str, int] = {}
         for at in range(0, len(missing), 50_000):
             some = missing[at : at + 50_000]
-            fresh.update(zip(some, self.merge([w[1:] if w[:1] == "\x01" else w if w[:1] == SPACE else SPACE + w for w in some])))
-        if len(known) < self.entries:
-            known.update(fresh)
-            find = known.__getitem__
-        else:
-            find = lambda w: known[w] if w in known else fresh[w]
-        return [sum(map(find, words)) for words in split]
+            known.update(zip(some, self.merge([w[1:] if w[:1] == "\x01" else w if w[:1] == SPACE else SPACE + w for w in some])))
+        found = [sum(map(known.__getitem__, words)) for words in split]
+        for w in missing if len(known) > self.entries else [w for w in missing if len(w) > _LETTERS]:
+            del known[w]
+        return found
 
 
 def counter(path: str) -> MergeCounter:
-    if path not in _LOADED:
-        _LOADED[path] = MergeCounter(path)
-    return _LOADED[path]
+    """The worker's counter of a model; what other operators keep there goes."""
+    keep_only("counts")
+    loaded = kept("counts")
+    if path not in loaded:
+        loaded.clear()
+        loaded[path] = MergeCounter(path)
+    return loaded[path]
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row; null text counts as empty. No shuffle."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row; no shuffle.
+
+    Null and empty texts have no bytes and no tokens. Null and repeated ids stay as they are, other columns are
+    ignored whatever their names, and an empty table gives no rows. Texts are counted in slices of about 1 MB; a
+    longer one makes a slice by itself, and a pre-token of over LONG symbols is merged over a heap.
+    """
     ship(docs.sparkSession)
 
     def run(batches):

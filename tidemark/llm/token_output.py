@@ -2,12 +2,12 @@
 
 A table of segments holds the ids. A segment is a byte image:
 
-    magic "TMTK1" | 32-byte SHA-256 of the dictionary | u32 documents
-    per document: i64 doc_id | u32 ids | u32 offset of its frame | u32 size of its frame
+    magic "TMTK2" | 32-byte SHA-256 of the dictionary | u32 documents
+    per document: i64 doc_id | u32 ids | u32 offset of its frame | u32 size of its frame | u8, 0 for a null doc_id
     frames
 
 Ids are little-endian unsigned 32-bit integers inside the frames. Segments are numbered (shard,
-segment) in ascending doc_id order, so one document is read from one segment by its index entry alone.
+segment) in ascending doc_id order, null first, so one document is read from one segment by its index entry alone.
 """
 
 from __future__ import annotations
@@ -23,25 +23,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import hash_sample, materialize, ship, slices_of
+from tidemark.llm.common import draw, materialize, release, ship, slices_of
 from tidemark.llm.word_cache import encoder
 
-MAGIC = b"TMTK1"
+MAGIC = b"TMTK2"
 END_ID = 2
 SEGMENT_BYTES = 2 << 20
-_ENTRY = struct.Struct("<qIII")
+#: Compressed bytes of a shard: the least and the most. Between them there are SHARDS shards.
+SHARD_LEAST, SHARD_MOST, SHARDS = 16 << 20, 512 << 20, 512
+BLOCK, BLOCKS = 4096, 16
+_ENTRY = struct.Struct("<qIIIB")
+_INDEX = np.dtype([("doc", "<i8"), ("n", "<u4"), ("at", "<u4"), ("size", "<u4"), ("known", "u1")])
 _HEAD = struct.Struct("<5s32sI")
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = 256, size: int = 64 << 10) -> bytes:
-    """A dictionary over the serialized ids of the sample documents with the least hash of their id.
+    """A dictionary over the serialized ids of the sample texts with the least hash, equal ones once.
 
-    The sample is a documented bound; it only shapes compression. Too little data gives an empty dictionary.
+    The sample is a documented bound; it only shapes compression. Of a text, BLOCKS blocks of BLOCK bytes at most,
+    spread over all of it, reach the driver. Too little data gives an empty dictionary.
     """
-    rows = hash_sample(docs.where("text is not null").select("doc_id", "text"), ["doc_id"], sample).select("text").collect()
-    blocks: list[bytes] = []
-    for ids in encoder(tokenizer_path).encode_bytes([r.text for r in rows]):
-        blocks += [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+
+    def spread(text: str, h: int) -> bytes:
+        ids = encoder(tokenizer_path).encode_bytes([text])[0]
+        n = -(-len(ids) // BLOCK)
+        return b"".join(ids[i * BLOCK : (i + 1) * BLOCK] for i in sorted({k * n // BLOCKS for k in range(BLOCKS)} if n > BLOCKS else range(n)))
+
+    blocks = [r.blob[i : i + BLOCK] for r in draw(docs.where("text is not null").select("text"), ["text"], sample, spread) for i in range(0, len(r.blob), BLOCK)]
     blocks = [b for b in blocks if len(b) >= 8]
     if len(blocks) < 16:
         return b""
@@ -75,10 +83,10 @@ def frames(docs: DataFrame, tokenizer_path: str, dictionary: bytes) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
 
-def pack_segment(dictionary_hash: bytes, rows: list[tuple[int, int, bytes]]) -> bytes:
+def pack_segment(dictionary_hash: bytes, rows: list[tuple[int | None, int, bytes]]) -> bytes:
     head, entries, at = _HEAD.pack(MAGIC, dictionary_hash, len(rows)), [], 0
     for doc_id, n, frame in rows:
-        entries.append(_ENTRY.pack(doc_id, n, at, len(frame)))
+        entries.append(_ENTRY.pack(doc_id or 0, n, at, len(frame), doc_id is not None))
         at += len(frame)
     return b"".join([head, *entries, *(r[2] for r in rows)])
 
@@ -91,8 +99,8 @@ def read_segment(image: bytes, dictionary: bytes):
     decompress = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
     base = _HEAD.size + n * _ENTRY.size
     for i in range(n):
-        doc_id, count, at, size = _ENTRY.unpack_from(image, _HEAD.size + i * _ENTRY.size)
-        yield doc_id, count, decompress(image[base + at : base + at + size], max_output_size=4 * count)
+        doc_id, count, at, size, known = _ENTRY.unpack_from(image, _HEAD.size + i * _ENTRY.size)
+        yield doc_id if known else None, count, decompress(image[base + at : base + at + size], max_output_size=4 * count)
 
 
 def read_document(image: bytes, dictionary: bytes, doc_id: int) -> np.ndarray | None:
@@ -100,8 +108,9 @@ def read_document(image: bytes, dictionary: bytes, doc_id: int) -> np.ndarray |
     magic, digest, n = _HEAD.unpack_from(image)
     if magic != MAGIC or digest != hashlib.sha256(dictionary).digest():
         raise ValueError("not a token segment of this dictionary")
-    index = np.frombuffer(image, dtype=np.dtype([("doc", "<i8"), ("n", "<u4"), ("at", "<u4"), ("size", "<u4")]), count=n, offset=_HEAD.size)
-    i = int(np.searchsorted(index["doc"], doc_id))
+    index = np.frombuffer(image, dtype=_INDEX, count=n, offset=_HEAD.size)
+    first = int(np.searchsorted(index["known"], 1))
+    i = first + int(np.searchsorted(index["doc"][first:], doc_id))
     if i >= n or index["doc"][i] != doc_id:
         return None
     base = _HEAD.size + n * _ENTRY.size + int(index["at"][i])
@@ -112,12 +121,10 @@ def read_document(image: bytes, dictionary: bytes, doc_id: int) -> np.ndarray |
 def write_segments(framed: DataFrame, dictionary: bytes, shards: int) -> DataFrame:
     """(shard, segment, n_tokens, image), written to the shared folder in ascending doc_id order and reread.
 
-    Shards are ranges of doc_id; rows that repeat an id stay together, ordered by their frames.
+    Shards are ranges of doc_id and, within it, of the frame's hash, so that one id that many rows repeat takes
+    as many shards as it needs. Rows that repeat an id are ordered by that hash.
     """
     digest = hashlib.sha256(dictionary).digest()
-    cuts = framed.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if shards > 1 else []
-    shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
 
     def run(batches):
         shard, segment, rows, held = None, 0, [], 0
@@ -129,35 +136,45 @@ def write_segments(framed: DataFrame, dictionary: bytes, shards: int) -> DataFra
             )
 
         for batch in batches:
-            for s, doc_id, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (s != shard or held >= SEGMENT_BYTES):
+            for shard, doc_id, n, frame in zip(*(c.to_pylist() for c in batch.columns)):  # a task has one shard
+                if held >= SEGMENT_BYTES:
                     yield flush()
-                    segment = segment + 1 if s == shard else 0
-                    rows, held = [], 0
-                shard = s
+                    segment, rows, held = segment + 1, [], 0
                 rows.append((doc_id, n, frame))
                 held += len(frame)
         if rows:
             yield flush()
 
-    ordered = framed.select(shard.cast("int").alias("shard"), "doc_id", "n_tokens", "frame").repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "frame")
-    return materialize(ordered.mapInArrow(run, "shard int, segment int, n_tokens long, image binary"), "segments", codec="uncompressed")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    ranged = framed.withColumn("tie", F.xxhash64("frame")).repartitionByRange(shards, *order).sortWithinPartitions(*order, "frame")
+    numbered = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "frame")
+    return materialize(numbered.mapInArrow(run, "shard int, segment int, n_tokens long, image binary"), "segments", codec="uncompressed")
+
+
+def shards_for(size: int) -> int:
+    return max(1, -(-size // min(SHARD_MOST, max(SHARD_LEAST, size // SHARDS))))
 
 
 def encode_corpus(docs: DataFrame, tokenizer_path: str, shards: int | None = None) -> tuple[DataFrame, bytes]:
     """Writes every document's ids; returns the table of segments and the dictionary.
 
-    Null doc_id values are not allowed. An empty table gives no segments.
+    There are as many shards as the compressed bytes need. Null ids come first, null text has the end id alone,
+    repeated rows stay repeated, other columns are ignored whatever their names. An empty table gives no segments.
     """
-    spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dictionary = train_dictionary(docs, tokenizer_path)
     framed = materialize(frames(docs, tokenizer_path, dictionary), "frames", codec="uncompressed")
-    return write_segments(framed, dictionary, shards), dictionary
+    if shards is None:
+        shards = shards_for(framed.agg(F.sum(F.octet_length("frame"))).first()[0] or 0)
+    segments = write_segments(framed, dictionary, shards)
+    release(framed)
+    return segments, dictionary
 
 
 def read_index(segments: DataFrame, dictionary: bytes) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the written segments."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the written segments.
+
+    start counts the ids of all documents before it in the order of the segments.
+    """
     ship(segments.sparkSession)
     totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_start"))

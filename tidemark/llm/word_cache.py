@@ -16,11 +16,13 @@ import unicodedata
 
 import numpy as np
 
-_ENTRIES = 700_000
+from tidemark.llm.common import keep_only, kept
+
+#: What a worker's table of known words may hold, and the longest word in it: 700,000 of 64 characters at most.
+_ENTRIES, _LETTERS = 700_000, 64
 _ODD = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: A full stop or comma behind anything but a letter or digit; it begins with what is rare, so the search is fast.
 _RUN = re.compile(r"[.,](?<=[\W_].)")
-_LOADED: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -91,19 +93,21 @@ class WordEncoder:
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         known = self.words
-        missing = set().union(*split.values()).difference(known) if split else ()
-        fresh = self._learn(list(missing)) if missing else {}
-        if len(known) < self.entries:
-            known.update(fresh)
-            find = known.__getitem__
-        else:
-            find = lambda w: known[w] if w in known else fresh[w]
+        missing = list(set().union(*split.values()).difference(known)) if split else []
+        if missing:
+            known.update(self._learn(missing))
         for i, words in split.items():
-            out[i] = b"".join(map(find, words))
+            out[i] = b"".join(map(known.__getitem__, words))
+        for w in missing if len(known) > self.entries else [w for w in missing if len(w) > _LETTERS]:
+            del known[w]
         return out
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+    """The worker's encoder of a vocabulary; what other operators keep there goes."""
+    keep_only("words")
+    loaded = kept("words")
+    if path not in loaded:
+        loaded.clear()
+        loaded[path] = WordEncoder(path)
+    return loaded[path]
