@@ -1,107 +1,165 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-A text becomes a template: lower-case words, with numbers, units after numbers, and names inside sentences
-replaced by typed placeholders. Windows of WIDTH template words are hashed. Documents give windows that do not
-overlap, benchmark items give one at every word, so a common run of 2 * WIDTH - 1 words always meets; items
-too short for that are met by windows of SHORT words. The pairs that meet are verified over all windows: an
-item counts as contained where at least ``least`` of its windows are found and every slot of the item takes
-one value in the document (the same, or a consistent new parameter).
+A text becomes a template: lower-case words, with numbers (in digits or words), units behind numbers, and names
+replaced by typed placeholders. Every window of WIDTH template words is hashed, in documents as in benchmark items;
+items of fewer than 2 * WIDTH - 1 words have windows of SHORT words. A window with fewer than PLAIN plain words says
+too little as a template and is hashed with the values of its placeholders.
+
+An item counts as contained where at least ``least`` of its windows are found in a text and its slots are filled
+consistently: at the best alignment each value of the item stands for one value of the text, the same or a new
+parameter. Texts are scanned once, against the set of the items' hashes; what that leaves is joined by the items'
+rarest windows, of which a contained item must show one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, release
 
-WIDTH = 5
-SHORT = 3
-#: Benchmark windows up to this many are broadcast; more are joined by a shuffle.
-BROADCAST_WINDOWS = 2_000_000
+WIDTH, SHORT, PLAIN = 5, 3, 2
+#: Hashes that one scan of the texts broadcasts, and rows of a verdict that are broadcast: about 50 MB at most.
+BROADCAST_ROWS = 1_000_000
+# What counts as a unit, a number word, and a name wherever it stands.
 UNITS = "mm|cm|km|m|mg|g|kg|t|ml|l|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|%|miles?|feet|foot|inch(?:es)?|pounds?|ounces?|meters?|metres?|kilometers?|kilometres?|kilograms?|grams?|liters?|litres?|degrees?|mph|kmh"
+NUMBERS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante soixante mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta cien mil"
+).split()
+NAMES = (
+    "alice bob carol dave eve mary john james anna peter paul sarah tom emma jack lucy david emily daniel laura michael julia robert susan "
+    "maria jose carlos ana luis hans fritz greta klaus pierre marie jean claire ahmed fatima wei ming raj priya ivan olga kenji yuki"
+).split()
 
 
-def template(text: Column, values: bool = False) -> Column:
-    """Space-separated template words; with values, a placeholder keeps what it stands for after a colon."""
-    keep = (lambda g: f":${g}") if values else (lambda g: "")
-    # The marks of placeholders are no part of a text's own words.
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>:_", "    ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<name" + (":$0" if values else "") + ">")
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}<:])(\p{Nd}+)(?:[.,](\p{Nd}+))?(?:\x20?(" + UNITS + r"))?(?![\p{L}\p{N}])", "<num" + (":$1_$2" if values else "") + "> <unit" + keep(3) + ">")
-    # A number without a unit leaves an empty unit slot, which both sides have.
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}<>:_%]+", " "))
-
+def _any(words: list[str]) -> str:
+    """A pattern of any of the words, by their first letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for first, rest in sorted(by.items()))
 
-def _plain(word: Column) -> Column:
-    return F.regexp_replace(word, ":[^>]*>", ">")
 
+_NAME = r"(?<![\p{L}\p{N}])(?:(?<=[\p{Ll}\p{Nd},;] )\p{Lu}\p{Ll}+|(?i:" + _any(NAMES) + r"))(?![\p{L}\p{N}])"
+_NUMBER = r"(?<![\p{L}\p{N}<:_])(?:(\p{Nd}+)(?:[.,](\p{Nd}+))?|(" + _any(NUMBERS) + r")(?:[\x20-](one))?)(?:\x20?(" + UNITS + r"))?(?![\p{L}\p{N}])"
 
-def _windows(words: Column, width: int) -> Column:
-    """(pos, hash, slots) of the windows at every word; slots are the placeholders with their values."""
-    at = F.sequence(F.lit(1), F.size(words) - width + 1)
-    one = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.transform(F.slice(words, i, width), _plain), " ")).alias("hash"), F.filter(F.slice(words, i, width), lambda w: w.startswith("<")).alias("slots"))
-    return F.when(F.size(words) >= width, F.transform(at, one))
 
+def template(text: Column) -> Column:
+    """Space-separated template words; a placeholder holds what it stands for behind a colon.
 
-def _aligned(t: Column, width: int) -> Column:
-    return F.regexp_extract_all(t, F.lit(rf"(?:[^ ]+ ){{{width - 1}}}[^ ]+"), F.lit(0))
+    A run of numbers is one slot, of its first and its last value.
+    """
+    # The marks of placeholders are no part of a text's own words.
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>:_", "    ")
+    t = F.lower(F.regexp_replace(t, _NAME, "<name:$0>"))
+    # A number without a unit leaves an empty unit slot, which both sides have.
+    t = F.regexp_replace(t, _NUMBER, "<num:$1_$2$3$4> <unit:$5>")
+    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}<>:_%]+", " "))
+    return F.regexp_replace(t, "(<num:[^>]*)> <unit:>(?: and)?(?: <num:([^>]*)> <unit:>)+", "$1_$2> <unit:>")
+
+
+def _windows(width: int) -> str:
+    """SQL of (pos, hash, slots) of the windows at every word of w, whose hashes are p: the last bit marks a placeholder."""
+    at = [f"p[i + {k}]" for k in range(width)]
+    slots = " + ".join(f"({x} & 1)" for x in at)
+    whole = f"xxhash64({width}, {', '.join(at)})"
+    valued = f"xxhash64({width}, array_join(slice(w, i + 1, {width}), ' '))"
+    one = f"named_struct('pos', i, 'hash', if({slots} <= {width - PLAIN}, {whole}, {valued}), 'slots', if({slots} = 0, null, filter(slice(w, i + 1, {width}), x -> startswith(x, '<'))))"
+    return f"if(size(w) >= {width}, transform(sequence(0, size(w) - {width}), i -> {one}), array())"
+
+
+_HASHES = "transform(w, x -> if(startswith(x, '<'), xxhash64(substring_index(x, ':', 1)) | 1, shiftleft(shiftright(xxhash64(x), 1), 1)))"
+
+
+def _words(rows: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    return rows.select(*keep, F.split(template(text), " ").alias("w")).withColumn("p", F.expr(_HASHES))
+
+
+def items(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(item_id, item) of each item, equal texts being one item, and (item, width, n_windows, item_pos, hash, item_slots)
+    of its windows, a repeated one once. Null items and those of fewer than SHORT template words have none."""
+    key = F.md5(F.col(text).cast("string"))
+    named = benchmark.where(F.col(text).isNotNull()).select(F.col(id_col).alias("item_id"), key.alias("item"))
+    words = _words(benchmark.where(F.col(text).isNotNull()), F.col(text), key.alias("item")).dropDuplicates(["item"])
+    long = F.size("w") >= 2 * WIDTH - 1
+    spread = words.select("item", F.when(long, WIDTH).otherwise(SHORT).alias("width"), F.explode(F.when(long, F.expr(_windows(WIDTH))).otherwise(F.expr(_windows(SHORT)))).alias("x"))
+    first = spread.groupBy("item", "width", "x.hash").agg(F.min(F.struct("x.pos", "x.slots")).alias("f"))
+    n = F.count("*").over(Window.partitionBy("item"))
+    return named, first.select("item", "width", n.alias("n_windows"), F.col("f.pos").alias("item_pos"), "hash", F.col("f.slots").alias("item_slots"))
+
+
+def rarest(windows: DataFrame, least: float) -> DataFrame:
+    """hash, item: of each item the windows that the fewest items have, one more than a contained item can lack."""
+    shared = windows.join(windows.groupBy("hash").agg(F.count("*").alias("df")), "hash")
+    place = F.row_number().over(Window.partitionBy("item").orderBy("df", "hash"))
+    return shared.withColumn("place", place).where(F.col("place") <= F.col("n_windows") - F.ceil(least * F.col("n_windows") - 1e-9) + 1).select("hash", "item")
+
+
+def _found(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """tk (MD5 of the text), pos, hash, slots of the windows of texts whose hash an item has; written in the shared folder."""
+    hashes = materialize(windows.select("width", "hash").distinct(), "item-hashes")
+    widths = sorted(r.width for r in hashes.select("width").distinct().collect())
+    slices = max(1, -(-hashes.count() // BROADCAST_ROWS))
+    words = _words(docs, F.col(text), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("tk"))
+    arrays = F.expr(_windows(widths[0])) if len(widths) == 1 else F.concat(*[F.expr(_windows(x)) for x in widths]) if widths else F.array().cast("array<struct<pos:int,hash:bigint,slots:array<string>>>")
+    spread = words.select("tk", F.explode(arrays).alias("x")).select("tk", "x.pos", "x.hash", "x.slots")
+    out = None
+    for i in range(slices):
+        mine = hashes.where(F.pmod("hash", F.lit(slices)) == i).select("hash")
+        part = materialize(spread.join(F.broadcast(mine), "hash", "left_semi").select("tk", "pos", "hash", "slots"), "found")
+        out = part if out is None else out.unionByName(part)
+    # Copies of a text count once.
+    seen = materialize(out.dropDuplicates(["tk", "pos", "hash"]), "met")
+    release(hashes)
+    return seen
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, clash: float = 0.0, text: str = "text") -> DataFrame:
+    """tk, item_id, coverage, same, slots of the texts that contain items, each text once; written in the shared folder.
+
+    clash is the share of an item's slots that may stand for several values.
+    """
+    named, windows = items(benchmark)
+    windows = materialize(windows, "items")
+    seen = _found(docs, windows, text)
+    pairs = materialize(seen.select("tk", "hash").join(rarest(windows, least), "hash").select("tk", "item").distinct(), "pairs")
+    both = pairs.join(seen, "tk").join(windows.drop("width"), ["item", "hash"])
+    found = materialize(both.select("tk", "item", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("slots")), "alignments")
+    whole = found.groupBy("tk", "item").agg((F.countDistinct("item_pos") / F.max("n_windows")).alias("coverage")).where(F.col("coverage") >= least)
+    # Of all alignments of an item in a text, the one that covers most of it is judged, of several the last.
+    best = found.groupBy("tk", "item", "shift").agg(F.countDistinct("item_pos").alias("hit")).groupBy("tk", "item").agg(F.max_by("shift", F.struct("hit", "shift")).alias("shift"))
+    slots = (
+        found.join(best, ["tk", "item", "shift"], "left_semi").select("tk", "item", F.explode("slots").alias("s"))
+        .groupBy("tk", "item", "s.i").agg(F.countDistinct("s.d").alias("values"), F.max(F.col("s.i") != F.col("s.d")).alias("new"))
+        .groupBy("tk", "item").agg(F.count("*").alias("slots"), F.sum((F.col("values") > 1).cast("long")).alias("clash"), F.max("new").alias("new"))
+    )
+    judged = whole.join(slots, ["tk", "item"], "left").where(F.coalesce("clash", F.lit(0)) <= clash * F.coalesce("slots", F.lit(0)))
+    out = judged.join(named, "item").select("tk", "item_id", "coverage", (~F.coalesce("new", F.lit(False))).alias("same"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"))
+    out = materialize(out, "contained")
+    release(windows, seen, pairs, found)
+    return out
 
 
-def items(benchmark: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, width, n_windows, pos, hash, slots: each item's windows, a repeated one once. Null and short items have none."""
-    words = F.split(template(F.col(text), True), " ")
-    rows = benchmark.select(F.col(id_col).alias("item_id"), words.alias("w")).where(F.size("w") >= WIDTH)
-    width = F.when(F.size("w") >= 2 * WIDTH - 1, WIDTH).otherwise(SHORT)
-    spread = rows.select("item_id", width.alias("width"), F.explode(F.when(F.size("w") >= 2 * WIDTH - 1, _windows(F.col("w"), WIDTH)).otherwise(_windows(F.col("w"), SHORT))).alias("x"))
-    first = spread.groupBy("item_id", "width", "x.hash").agg(F.min(F.struct("x.pos", "x.slots")).alias("f"))
-    sizes = first.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return first.join(sizes, "item_id").select("item_id", "width", "n_windows", F.col("f.pos").alias("item_pos"), "hash", F.col("f.slots").alias("item_slots"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, clash: float = 0.0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, coverage (share of the item's windows found), same (slots keep their values), slots.
 
-    One row per document and item contained. Null and empty texts contain nothing; items of fewer than WIDTH
-    template words are never reported; rows that repeat an id count as one document.
+    One row for each row of docs and item contained, whatever the ids: null and repeated ones are reported with
+    their rows. Null and empty texts contain nothing; null items and items of fewer than SHORT template words are
+    never reported; equal items are each reported. Empty tables give no rows; other columns are ignored, whatever
+    their names. Very long texts are judged as a whole.
     """
-    keys = materialize(items(benchmark), "items")
-    hashes = keys.select("width", "hash").distinct()
-    n = hashes.count()
-    small = (lambda df: F.broadcast(df)) if n <= BROADCAST_WINDOWS else (lambda df: df)
-    t = docs.select(F.col(id_col).alias("doc_id"), template(F.col(text)).alias("t"))
-    arms = []
-    for width in sorted(r.width for r in hashes.select("width").distinct().collect()):
-        seen = t.select("doc_id", F.explode(_aligned(F.col("t"), width)).alias("w")).select("doc_id", F.xxhash64("w").alias("hash"))
-        arms.append(seen.join(small(hashes.where(F.col("width") == width).select("hash")), "hash", "left_semi").select("doc_id"))
-    if not arms:
-        return docs.limit(0).select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(True).alias("same"), F.lit(0).cast("long").alias("slots"))
-    met = arms[0]
-    for arm in arms[1:]:
-        met = met.unionByName(arm)
-    met = materialize(met.distinct(), "met")
-    words = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).join(met, "doc_id", "left_semi").select("doc_id", F.split(template(F.col("t"), True), " ").alias("w"))
-    found = None
-    for width in sorted(r.width for r in hashes.select("width").distinct().collect()):
-        seen = words.select("doc_id", F.explode(_windows(F.col("w"), width)).alias("x")).select("doc_id", "x.pos", "x.hash", "x.slots")
-        hit = seen.join(small(keys.where(F.col("width") == width).drop("width")), "hash")
-        found = hit if found is None else found.unionByName(hit)
-    found = materialize(found.select("doc_id", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("slots")), "found")
-    # Of all alignments of an item in a document, the one that covers most of it is judged.
-    runs = found.groupBy("doc_id", "item_id", "shift").agg(F.max("n_windows").alias("n_windows"), F.countDistinct("item_pos").alias("hit"))
-    whole = found.groupBy("doc_id", "item_id").agg((F.countDistinct("item_pos") / F.max("n_windows")).alias("coverage"))
-    best = runs.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("hit", "shift")).alias("shift"))
-    slots = (
-        found.join(best, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", F.explode("slots").alias("s"))
-        .groupBy("doc_id", "item_id", "s.i").agg(F.countDistinct("s.d").alias("values"), F.max(F.col("s.i") != F.col("s.d")).alias("new"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.sum((F.col("values") > 1).cast("long")).alias("clash"), F.max("new").alias("new"))
-    )
-    judged = whole.where(F.col("coverage") >= least).join(slots, ["doc_id", "item_id"], "left")
-    return judged.where(F.coalesce("clash", F.lit(0)) * 5 <= F.coalesce("slots", F.lit(0))).select("doc_id", "item_id", "coverage", (~F.coalesce("new", F.lit(False))).alias("same"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"))
+    bad = verdicts(docs, benchmark, least, clash, text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("string"))).alias("tk"))
+    return rows.join(_small(bad), "tk").select("doc_id", "item_id", "coverage", "same", "slots")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that contain no benchmark item."""
-    bad = contaminated(docs, benchmark, least, id_col, text).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(materialize(bad, "contaminated"), id_col, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, clash: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of docs that contain no benchmark item; null texts stay. See contaminated."""
+    bad = materialize(verdicts(docs, benchmark, least, clash, text).select(F.col("tk").alias("__contaminated")).distinct(), "contaminated")
+    return docs.join(_small(bad), F.unhex(F.md5(F.col(text).cast("string"))) == F.col("__contaminated"), "left_anti")
