@@ -84,9 +84,9 @@ def test_updates_by_predicate(repo):
 
 def test_validation(repo):
     rename = lambda name: repo.read("products").where("sku = 'MUG-01'").withColumn("name", F.lit(name)).withColumn("op", F.lit(2))
-    found = repo.validate("products", "main", rename("Camp stove"))
-    assert [(v["rule"], v["rows"]) for v in found] == [("unique", 2)]
-    assert repo.validate("products", "main", rename("Enamel mug XL")) == []
+    found = repo.validate("products", "main", rename("Camp stove")).collect()
+    assert [(v.rule, v.columns, v.value, v.rows) for v in found] == [("unique", ["name"], ["Camp stove"], 2)]
+    assert repo.validate("products", "main", rename("Enamel mug XL")).isEmpty()
 
 
 def test_refusals(repo, spark):
@@ -235,7 +235,7 @@ def test_retention(repo, spark):
 
 
 def test_personal_data(spark, tmp_path):
-    repo = Repository.create(spark, str(tmp_path / "c"), "c", "ada", Clock())
+    repo = Repository.create(spark, str(tmp_path / "c"), "c", "ada", Clock(), wrapping_key=bytes(range(32)))
     people = [("C1", "cust-1", "ada@example.com"), ("C2", "cust-2", "grace@example.com"), ("C3", "cust-2", None)]
     repo.track("contacts", spark.createDataFrame(people, "id string, customer string, email string"), ["id"])
     repo.commit("contacts", spark.createDataFrame([("C1", "cust-1", "ada@new.example")], "id string, customer string, email string"), author="ada")

@@ -7,6 +7,7 @@ import hmac
 import json
 from dataclasses import dataclass, field
 
+# The names of the capabilities.
 CAPABILITIES = ("read", "write", "branch", "merge", "approve", "admin", "purge")
 _ORDINARY = frozenset(CAPABILITIES) - {"admin", "purge"}
 
@@ -22,6 +23,14 @@ class Access:
     grants: dict[str, set[str]] = field(default_factory=dict)
     keys: dict[str, str] = field(default_factory=dict)  # digest of a key -> principal
 
+    @classmethod
+    def of(cls, state: dict) -> Access:
+        """As a repository's state records it."""
+        return cls({p: set(held) for p, held in state.get("grants", {}).items()}, dict(state.get("keys", {})))
+
+    def put(self, state: dict) -> None:
+        state["grants"], state["keys"] = {p: sorted(held) for p, held in self.grants.items()}, self.keys
+
     def grant(self, principal: str, *capabilities: str, key: str | None = None) -> None:
         if unknown := set(capabilities) - set(CAPABILITIES):
             raise ValueError(f"no capability {sorted(unknown)[0]}")
@@ -62,5 +71,14 @@ def verify_checkpoint(repository, point: dict, secret: bytes) -> bool:
     return bool(c) and point["repo"] == repository.state["repo"]["id"] and c["seq"] == point["seq"]
 
 
+def sign_commit(repository, commit: str, secret: bytes) -> str:
+    """A commit's id under a keyed SHA-256; the id binds all that the commit holds."""
+    return _sign({"repo": repository.state["repo"]["id"], "commit": repository._find(commit)}, secret)
+
+
+def verify_commit(repository, commit: str, secret: bytes, signature: str) -> bool:
+    return hmac.compare_digest(sign_commit(repository, commit, secret), signature)
+
+
 def _sign(body: dict, secret: bytes) -> str:
     return hmac.new(secret, json.dumps(body, sort_keys=True).encode(), hashlib.sha256).hexdigest()

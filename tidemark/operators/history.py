@@ -14,7 +14,7 @@ def history(log: DataFrame, commits: DataFrame, chain: Chain, pk: list[str], inh
     """Versions of each key with author, time and message. The branch's own, or all that its chain shows."""
     seen = segment_filter(chain if inherited else chain[:1]) & F.col("session_id").isNull()
     notes = commits.select("branch_id", F.col("seq").alias("seq_from"), "commit_id", "author", "committed_at", "message")
-    return log.where(seen).drop("session_id").join(F.broadcast(notes) if notes.count() < 1_000_000 else notes, ["branch_id", "seq_from"], "left")
+    return log.where(seen).drop("session_id").join(notes, ["branch_id", "seq_from"], "left")
 
 
 def blame(versions: DataFrame, pk: list[str], columns: list[str], order: list[str] | None = None) -> DataFrame:

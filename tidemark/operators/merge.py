@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import DELETE, INSERT, UPDATE, same_row
-from tidemark.plans.resolve import Chain, winners
+from tidemark.plans.resolve import Chain, beyond, priority, segment_filter
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, pk: list[str], values: list[str]) -> DataFrame:
@@ -23,10 +23,24 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, pk: list[str]
 
 
 def three_way_scan(log: DataFrame, base: Chain, ours: Chain, theirs: Chain, pk: list[str], values: list[str]) -> DataFrame:
-    """As three_way, from the log itself, after one repartition by key, which the resolutions and the first join reuse."""
-    keyed = log.repartition(*[F.col(k) for k in pk])
-    state = lambda chain: winners(keyed, chain, pk).where(F.col("op") != DELETE)
-    return three_way(state(base), state(ours), state(theirs), pk, values)
+    """As three_way, from the log itself, for the keys of which either side shows other versions than the base.
+
+    Two scans: one finds those keys, the other takes all three winners of each in one aggregation. So a merge moves
+    what changed, not the table. Equal chains have one winner.
+    """
+    touched = log.where(beyond(ours, base) | beyond(theirs, base)).select(*pk).distinct()
+    chains: dict[tuple, str] = {}
+    names = [chains.setdefault(tuple(map(tuple, c)), f"__w{i}") for i, c in enumerate((base, ours, theirs))]
+    few = log.where(segment_filter([*base, *ours, *theirs]) & F.col("session_id").isNull()).join(touched, pk, "left_semi")
+    row = F.struct("op", *values)
+    won = few.groupBy(*pk).agg(*[F.max_by(row, F.when(segment_filter(list(c)), F.struct((-priority(list(c))).alias("p"), "seq_from"))).alias(n) for c, n in chains.items()])
+    sides = []
+    for p, n in zip("bat", names):
+        there = F.coalesce(F.col(n)["op"] != DELETE, F.lit(False))
+        sides += [there.alias(f"__{p}"), *[F.when(there, F.col(n)[v]).alias(f"{p}_{v}") for v in values]]
+    # One row to a row, but its columns are then plain ones: the optimizer would else copy their expressions into all
+    # that follow, which grows without bound.
+    return won.select(*pk, F.inline(F.array(F.struct(*sides))))
 
 
 def judge(sides: DataFrame, pk: list[str], values: list[str]) -> DataFrame:

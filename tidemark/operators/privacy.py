@@ -26,6 +26,16 @@ def unseal(value: Column, key: Column, aad: Column) -> Column:
     return F.when(value.startswith(PREFIX), F.coalesce(plain, F.lit(ERASED))).otherwise(value)
 
 
+def wrap(key: Column, wrapping_key: bytes, subject: Column) -> Column:
+    """A subject's key under the wrapping key, bound to the subject; NULL stays NULL."""
+    return F.aes_encrypt(key, F.lit(bytearray(wrapping_key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), F.encode(subject, "UTF-8"))
+
+
+def unwrap(wrapped: Column, wrapping_key: bytes, subject: Column) -> Column:
+    """The key, or NULL where it was forgotten or wrapped under another one."""
+    return F.try_aes_decrypt(wrapped, F.lit(bytearray(wrapping_key)), F.lit("GCM"), F.lit("DEFAULT"), F.encode(subject, "UTF-8"))
+
+
 def with_keys(rows: DataFrame, keys: DataFrame, subject: str) -> DataFrame:
     """Adds __key of each row's subject from keys (subject, key); subjects without one get NULL."""
     return rows.join(keys.select(F.col("subject").alias("__subject"), F.col("key").alias("__key")), F.col(subject).cast("string") == F.col("__subject"), "left").drop("__subject")

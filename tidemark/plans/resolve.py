@@ -68,12 +68,28 @@ def resolve(log: DataFrame, chain: Chain, pk: list[str], session: str | None = N
     return out
 
 
+def candidate_keys(log: DataFrame, chain: Chain, pk: list[str]) -> DataFrame:
+    """Keys with any version within the chain."""
+    return log.where(segment_filter(chain) & F.col("session_id").isNull()).select(*pk).distinct()
+
+
+def beyond(chain: Chain, base: Chain) -> Column:
+    """Committed versions that one of both chains shows and the other does not, as ranges that reach the scan."""
+    top = [{b: max(s for x, s in c if x == b) for b, _ in c} for c in (chain, base)]
+    out = F.lit(False)
+    for b in sorted({*top[0], *top[1]}):
+        low, high = sorted(t.get(b, -1) for t in top)
+        if low < high:
+            out = out | ((F.col("branch_id") == b) & (F.col("seq_from") > low) & (F.col("seq_from") <= high))
+    return out & F.col("session_id").isNull()
+
+
 def candidate_resolve(log: DataFrame, chain: Chain, pk: list[str], where: Predicate) -> DataFrame:
     """The two-pass form: keys with any version that fits, then those keys resolved and filtered again.
 
     Worth it where files can be skipped on the predicate; always the same rows as resolve.
     """
-    keys = log.where(segment_filter(chain) & F.col("session_id").isNull()).where(to_filter(where)).select(*pk).distinct()
+    keys = candidate_keys(log.where(to_filter(where)), chain, pk)
     return resolve(log.join(keys, pk, "left_semi").select(*log.columns), chain, pk, where=where)
 
 

@@ -2,12 +2,18 @@
 
 Rows live in Parquet folders that are only ever added; the control state names the folders with their branch
 and seq, so a chain reads only its own. Every read is a lazy DataFrame.
+
+A change works on a copy of the state, which is published in one step when the change ends, or not at all. Commits
+and file entries are shared between copies, so they are replaced and never altered.
 """
 
 from __future__ import annotations
 
+import copy
+import functools
 import time
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -16,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.access import Access
 from tidemark.functions import encoding
 from tidemark.functions.predicates import Predicate
 from tidemark.functions.values import DELETE, INSERT, UnsupportedType, kind_of
@@ -24,7 +31,9 @@ from tidemark.operators import history as hi
 from tidemark.operators import merge as mg
 from tidemark.operators import privacy, retention
 from tidemark.operators import schema as sc
-from tidemark.plans.resolve import Chain, child_chain, intervals, resolve
+from tidemark.metrics import Metrics
+from tidemark.operators import ddl
+from tidemark.plans.resolve import Chain, candidate_keys, child_chain, intervals, resolve, winners
 from tidemark.sources import export as ex
 from tidemark.sources.connect import introspect
 from tidemark.sources.control import Conflict, ControlStore, NotFound
@@ -50,48 +59,135 @@ class MergeResult:
     clean: bool
     changes: DataFrame
     conflicts: DataFrame
-    violations: list[dict]
+    violations: DataFrame
     commit: str | None = None
 
 
+def _needs(capability: str):
+    """The caller needs a capability; what a method calls in turn needs none of its own."""
+
+    def wrap(method):
+        @functools.wraps(method)
+        def run(self, *args, **kwargs):
+            with self._as(capability):
+                return method(self, *args, **kwargs)
+
+        return run
+
+    return wrap
+
+
+def _published(capability: str):
+    """As _needs; and what the method changes is published as one state when it ends, or not at all."""
+
+    def wrap(method):
+        @functools.wraps(method)
+        def run(self, *args, **kwargs):
+            with self._as(capability), self._change():
+                return method(self, *args, **kwargs)
+
+        return run
+
+    return wrap
+
+
+def _copied(state: dict) -> dict:
+    out = {k: copy.deepcopy(v) for k, v in state.items() if k not in ("commits", "tables")}
+    out["commits"] = dict(state["commits"])
+    out["tables"] = {n: {**copy.deepcopy({k: v for k, v in t.items() if k != "files"}), "files": list(t["files"])} for n, t in state["tables"].items()}
+    return out
+
+
 class Repository:
-    def __init__(self, spark: SparkSession, path: str, clock=None) -> None:
+    """wrapping_key (32 bytes, kept elsewhere) wraps the keys of sealed columns; principal is who the caller is."""
+
+    def __init__(self, spark: SparkSession, path: str, clock=None, wrapping_key: bytes | None = None, principal: str | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.store = ControlStore(spark, self.path)
         self.clock = clock or (lambda: time.time_ns() // 1000)
+        self.wrapping_key, self.principal = wrapping_key, principal
+        self.metrics = Metrics()
+        self._depth, self._changing = 0, False
+        self._made: list[str] = []
+        self._doomed: list[str] = []
         self.version, self.state = self.store.load()
 
+    @contextmanager
+    def _as(self, capability: str):
+        if self._depth == 0 and self.state.get("grants"):
+            Access.of(self.state).require(self.principal or "", capability)
+        self._depth += 1
+        try:
+            yield
+        finally:
+            self._depth -= 1
+
+    @contextmanager
+    def _change(self):
+        """What is done inside is published as one state. On any exception nothing is, and folders written go."""
+        if self._changing:
+            yield
+            return
+        before, self.state, self._changing = self.state, _copied(self.state), True
+        self._made, self._doomed = [], []
+        try:
+            yield
+            self.version = self.store.publish(self.version, self.state)
+        except BaseException as e:
+            self.state = before
+            for path in self._made:
+                self.store.delete(path)
+            if isinstance(e, Conflict):
+                self.refresh()
+            raise
+        finally:
+            self._changing = False
+        live = {f["path"] for t in self.state["tables"].values() for f in t["files"]} | set(self.state["key_files"])
+        for path in set(self._doomed) - live:
+            self.store.delete(path)
+
+    def _folder(self, *parts: str) -> str:
+        """The name of a new folder, which goes again where the change is not published."""
+        self._made.append("/".join([*parts, uuid.uuid4().hex]))
+        return self._made[-1]
+
     # Creation and control state
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, name: str, author: str, clock=None) -> Repository:
+    def create(cls, spark: SparkSession, path: str, name: str, author: str, clock=None, **options) -> Repository:
         """An empty repository whose root commit, seq 0, is on the protected branch main."""
         if not author:
             raise Refused("an author is required")
         now = (clock or (lambda: time.time_ns() // 1000))()
         repo_id, main = uuid.uuid4().hex, uuid.uuid4().hex
-        state = {"repo": {"id": repo_id, "name": name, "author": author, "created": now}, "branches": {}, "tags": {}, "commits": {}, "tables": {}, "sessions": {}, "proposals": {}, "plans": {}, "key_files": [], "purges": [], "drift": [], "once": {}, "deleted": {}}
+        state = {"repo": {"id": repo_id, "name": name, "author": author, "created": now}, "branches": {}, "tags": {}, "commits": {}, "tables": {}, "sessions": {}, "proposals": {}, "plans": {}, "key_files": [], "purges": [], "drift": [], "once": {}, "deleted": {}, "grants": {}, "keys": {}}
         chain = [[main, 0]]
         root = encoding.commit_id(bytes.fromhex(repo_id), [], encoding.fold([]), encoding.fold([]), author, now, "root", "").hex()
-        state["commits"][root] = {"parents": [], "branch": main, "seq": 0, "author": author, "at": now, "message": "root", "external": "", "change": encoding.fold([]).hex(), "schema": encoding.fold([]).hex(), "integrity": "full", "chain": chain, "table": None}
+        state["commits"][root] = {"id": root, "parents": [], "branch": main, "seq": 0, "author": author, "at": now, "message": "root", "external": "", "change": encoding.fold([]).hex(), "schema": encoding.fold([]).hex(), "integrity": "full", "chain": chain, "table": None}
         state["branches"]["main"] = {"id": main, "head": root, "seq": 0, "parent": None, "fork": None, "fork_seq": 0, "chain": chain, "protected": True, "min_approvals": 0}
         ControlStore(spark, path).publish(0, state)
-        return cls(spark, path, clock)
+        return cls(spark, path, clock, **options)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, clock=None) -> Repository:
-        return cls(spark, path, clock)
+    def open(cls, spark: SparkSession, path: str, clock=None, key: str | None = None, **options) -> Repository:
+        """key is a principal's own, as grant recorded it; without one the principal is taken as named."""
+        repo = cls(spark, path, clock, **options)
+        if key is not None:
+            repo.principal = Access.of(repo.state).principal(key)
+        return repo
+
+    @_published("admin")
+    def grant(self, principal: str, *capabilities: str, key: str | None = None) -> None:
+        """From the first grant on, every call needs its capability. So the first must name an administrator."""
+        access = Access.of(self.state)
+        access.grant(principal, *capabilities, key=key)
+        if not any("admin" in held for held in access.grants.values()):
+            raise Refused("the first grant must name an administrator")
+        access.put(self.state)
 
     def refresh(self) -> None:
         self.version, self.state = self.store.load()
 
-    def _save(self) -> None:
-        try:
-            self.version = self.store.publish(self.version, self.state)
-        except Conflict:
-            self.refresh()
-            raise
-
     def _branch(self, name: str) -> dict:
         if name not in self.state["branches"]:
             raise NotFound(f"branch {name}")
@@ -117,6 +213,7 @@ class Repository:
 
     # Tables and their logs
 
+    @_published("admin")
     def track(self, name: str, df: DataFrame, pk: list[str], mode: str = "versioned", unique: list[list[str]] = (), write_mode: str = "open") -> None:
         """Registers a table and backfills its rows as inserts at main's head."""
         if name in self.state["tables"]:
@@ -138,8 +235,8 @@ class Repository:
         main = self._branch("main")
         rows = df.select(F.lit(INSERT).alias("op"), F.array().cast("array<int>").alias("changed"), *names)
         self._write(name, rows, main["id"], main["seq"], None, sc_version(table, ""))
-        self._save()
 
+    @_published("admin")
     def untrack(self, name: str, force: bool = False) -> None:
         """Drops a table's history; refused while a branch holds versions of its own, unless forced."""
         table = self._table(name)
@@ -147,13 +244,14 @@ class Repository:
         if not force and any(f["branch"] != main for f in table["files"]):
             raise Refused(f"{name} has changes on branches")
         del self.state["tables"][name]
-        self._save()
-        self.store.delete(f"data/{name}")
+        self._doomed += [f["path"] for f in table["files"]]
 
+    @_needs("read")
     def tables(self) -> DataFrame:
         rows = [(n, t["mode"], t["id"], len(sc_version(t, "").columns)) for n, t in sorted(self.state["tables"].items())]
         return self.spark.createDataFrame(rows, "table string, mode string, table_id int, columns int")
 
+    @_needs("read")
     def schema(self, table: str, branch: str = "main") -> sc.Version:
         """The branch's newest schema, else the nearest along its chain, else the one at tracking."""
         t = self._table(table)
@@ -173,7 +271,7 @@ class Repository:
     def _write(self, name: str, rows: DataFrame, branch: str, seq: int, session: str | None, version: sc.Version) -> str:
         """A new data folder of versions, sorted by key within files so that row groups can be skipped."""
         table = self._table(name)
-        relative = f"data/{name}/{uuid.uuid4().hex}"
+        relative = self._folder("data", name)
         keys = [version.column(i).name for i in table["pk"]]
         ready = self._with_keys(name, rows, version, new=True).sortWithinPartitions(*keys).select(
             F.lit(branch).alias("branch_id"), F.lit(seq).cast("long").alias("seq_from"), F.col("op").cast("int").alias("op"), F.lit(session).cast("string").alias("session_id"), F.col("changed"),
@@ -183,14 +281,15 @@ class Repository:
         table["files"].append({"path": relative, "branch": branch, "seq": seq, "session": session, "order": len(table["files"]), "columns": [[c.id, c.type] for c in version.columns]})
         return relative
 
-    def log(self, table: str, chain: Chain | None = None, session: str | None = None, version: sc.Version | None = None) -> DataFrame:
+    @_needs("read")
+    def log(self, table: str, chain: Chain | None = None, session: str | None = None, version: sc.Version | None = None, among: list[dict] | None = None) -> DataFrame:
         """The version log under live column names: the files of a chain (all without one), each read by its own schema."""
         t = self._table(table)
         version = version or sc_version(t, "")
         top = {}
         for b, s in chain or []:
             top[b] = max(s, top.get(b, -1))
-        files = [f for f in t["files"] if chain is None or (f["session"] is None and f["branch"] in top and f["seq"] <= top[f["branch"]]) or (session is not None and f["session"] == session)]
+        files = [f for f in (t["files"] if among is None else among) if chain is None or (f["session"] is None and f["branch"] in top and f["seq"] <= top[f["branch"]]) or (session is not None and f["session"] == session)]
         groups: dict[tuple, list[str]] = {}
         for f in files:
             paths = groups.setdefault(tuple(map(tuple, f["columns"])), [])
@@ -222,6 +321,7 @@ class Repository:
             return [tuple(x) for x in max(found, key=lambda c: c["seq"])["chain"]]
         return [tuple(x) for x in b["chain"]]
 
+    @_needs("read")
     def read(self, table: str, branch: str = "main", at: str | None = None, as_of: int | None = None, session: str | None = None, where: Predicate | None = None, after: dict | None = None, limit: int | None = None) -> DataFrame:
         """The rows of a branch, a commit (at), a moment in microseconds (as_of) or a session, by that schema."""
         if session is not None:
@@ -229,9 +329,12 @@ class Repository:
             chain = [tuple(x) for x in self.state["commits"][s["base"]]["chain"]]
         else:
             chain = self._chain(branch, at, as_of)
+            self._refuse_dropped(table, chain)
+        self.metrics.read(len(chain))
         version = self._schema_at(table, chain)
         return resolve(self.log(table, chain, session, version), chain, self._keys(table, version), session, where, after, limit).drop("changed")
 
+    @_needs("read")
     def get(self, table: str, key: dict[str, Any], **where: Any) -> dict:
         from tidemark.functions.predicates import key_predicate
 
@@ -240,16 +343,19 @@ class Repository:
             raise NotFound(f"{table} has no row {key}")
         return rows[0].asDict()
 
+    @_needs("read")
     def commits(self, branch: str | None = None) -> DataFrame:
         keep = None if branch is None else self._branch(branch)["id"]
         rows = [(i, c["branch"], c["seq"], c["author"], c["at"], c["message"], c["parents"], c["external"], c["integrity"]) for i, c in self.state["commits"].items() if keep in (None, c["branch"])]
         df = self.spark.createDataFrame(rows, "commit_id string, branch_id string, seq long, author string, at long, message string, parents array<string>, external_ref string, integrity string")
         return df.withColumn("committed_at", F.timestamp_micros("at")).drop("at")
 
+    @_needs("read")
     def history_log(self, branch: str = "main", limit: int = 20) -> DataFrame:
-        """A branch's own commits, newest first."""
+        """A branch's own commits, newest first; seqs do not tie."""
         return self.commits(branch).orderBy(F.col("seq").desc()).limit(limit)
 
+    @_needs("read")
     def history(self, table: str, branch: str = "main", keys: DataFrame | None = None, inherited: bool = False) -> DataFrame:
         chain = self._chain(branch, None, None)
         version = self._schema_at(table, chain)
@@ -258,6 +364,7 @@ class Repository:
         out = hi.history(log if keys is None else log.join(keys.select(*pk), pk, "left_semi"), self.commits(), chain, pk, inherited)
         return out.orderBy(*pk, F.col("seq_from").desc())
 
+    @_needs("read")
     def blame(self, table: str, branch: str = "main", keys: DataFrame | None = None, columns: list[str] | None = None, inherited: bool = False) -> DataFrame:
         """Per key and column: the commit that gave the present value."""
         chain = self._chain(branch, None, None)
@@ -273,29 +380,35 @@ class Repository:
         notes = self.commits().select("branch_id", F.col("seq").alias("seq_from"), "commit_id", "author", "committed_at", "message")
         return found.withColumn("branch_id", owner[F.col("depth")]).join(notes, ["branch_id", "seq_from"], "left").drop("depth")
 
+    @_needs("read")
     def diff(self, table: str, branch: str = "main", from_seq: int = 0, to_seq: int = -1) -> DataFrame:
         b = self._branch(branch)
         to_seq = b["seq"] if to_seq < 0 else to_seq
         chain = [tuple(x) for x in b["chain"]]
         chain[0] = (chain[0][0], to_seq)
+        self._refuse_dropped(table, [(b["id"], from_seq), (b["id"], to_seq)])
         version = self._schema_at(table, chain)
         return hi.diff(self.log(table, chain, None, version), chain, from_seq, to_seq, self._keys(table, version), _columns(version))
 
+    @_needs("read")
     def diff_commits(self, table: str, before: str, after: str) -> DataFrame:
         """Net changes between any two commits, branches or tags."""
         a, b = self._chain("main", before, None), self._chain("main", after, None)
+        self._refuse_dropped(table, [*a, *b])
         version = self._schema_at(table, b)
         pk = self._keys(table, version)
         return hi.compare(resolve(self.log(table, a, None, version), a, pk), resolve(self.log(table, b, None, version), b, pk), pk, _columns(version))
 
     # Commits
 
+    @_published("write")
     def commit(self, table: str, changes: DataFrame, branch: str = "main", author: str = "", message: str = "", ref: str = "", expected_head: str | None = None, idempotency_key: str | None = None, extra_parents: list[str] = (), at: int | None = None) -> CommitResult:
         """Applies changes (columns, optional op: 1 insert, 2 update, 3 delete) to a branch as one commit.
 
         Without op every row is a write. A commit of no-ops alone advances the head and changes nothing. All
         rows become visible by one published state, or none do.
         """
+        began = time.monotonic()
         if not author:
             raise Refused("an author is required")
         if idempotency_key and idempotency_key in self.state["once"]:
@@ -320,11 +433,11 @@ class Repository:
         changed = written.count()
         digest = self._change_digest(table, written, version) if changed else encoding.fold([])
         if not changed:
-            t["files"].pop()
+            self._doomed.append(t["files"].pop()["path"])
         result = self._append(table, branch, version, seq, digest, [b["head"], *extra_parents], author, message, ref, changed, at)
         if idempotency_key:
             self.state["once"][idempotency_key] = result.__dict__
-        self._save()
+        self.metrics.commit(changed, time.monotonic() - began)
         return result
 
     def _file_schema(self, version: sc.Version) -> T.StructType:
@@ -343,17 +456,20 @@ class Repository:
         now = self.clock() if at is None else at
         commit = encoding.commit_id(bytes.fromhex(self.state["repo"]["id"]), [bytes.fromhex(p) for p in parents], digest, shape, author, now, message, ref).hex()
         chain = [[b["id"], seq], *b["chain"][1:]]
-        self.state["commits"][commit] = {"parents": list(parents), "branch": b["id"], "seq": seq, "author": author, "at": now, "message": message, "external": ref, "change": digest.hex(), "schema": shape.hex(), "integrity": "full", "chain": chain, "table": table}
+        self.state["commits"][commit] = {"id": commit, "parents": list(parents), "branch": b["id"], "seq": seq, "author": author, "at": now, "message": message, "external": ref, "change": digest.hex(), "schema": shape.hex(), "integrity": "full", "chain": chain, "table": table}
         b.update(head=commit, seq=seq, chain=chain)
         return CommitResult(commit, seq, changed)
 
+    @_published("write")
     def update_where(self, table: str, where: Predicate | None, assignments: dict[str, Any], branch: str = "main", author: str = "", message: str = "") -> CommitResult:
         return self.commit(table, ch.update_where(self.read(table, branch), where, assignments), branch, author, message)
 
+    @_published("write")
     def delete_where(self, table: str, where: Predicate | None, branch: str = "main", author: str = "", message: str = "") -> CommitResult:
         keys = ch.delete_where(self.read(table, branch), where, self._keys(table, self.schema(table, branch)))
         return self.commit(table, keys.withColumn("op", F.lit(DELETE)), branch, author, message)
 
+    @_published("write")
     def revert(self, table: str, commit: str, branch: str = "main", author: str = "", message: str = "", force: bool = False) -> CommitResult:
         """Undoes one commit of the branch; refused where a key changed again later, unless forced."""
         commit = self._find(commit)
@@ -373,6 +489,7 @@ class Repository:
 
     # Refs
 
+    @_published("branch")
     def branch(self, name: str, source: str = "main") -> None:
         if name in self.state["branches"] or name in self.state["tags"]:
             raise Refused(f"{name} exists")
@@ -380,8 +497,8 @@ class Repository:
         new = uuid.uuid4().hex
         chain = child_chain(new, p["id"], p["seq"], [tuple(x) for x in p["chain"]])
         self.state["branches"][name] = {"id": new, "head": p["head"], "seq": 0, "parent": source, "fork": p["head"], "fork_seq": p["seq"], "chain": [list(x) for x in chain], "protected": False, "min_approvals": 0}
-        self._save()
 
+    @_published("branch")
     def delete_branch(self, name: str) -> None:
         b = self._branch(name)
         if name == "main":
@@ -390,32 +507,33 @@ class Repository:
             raise Refused(f"{name} has child branches")
         self.state["deleted"][b["id"]] = self.clock()
         del self.state["branches"][name]
-        self._save()
 
+    @_published("branch")
     def tag(self, name: str, at: str) -> None:
         if name in self.state["branches"] or name in self.state["tags"]:
             raise Refused(f"{name} exists")
         commit = self._find(at)
         self.state["tags"][name] = {"commit": commit, "chain": self.state["commits"][commit]["chain"]}
-        self._save()
 
+    @_needs("read")
     def refs(self) -> DataFrame:
         rows = [("branch", n, b["head"], b["seq"], b["parent"], b["protected"], b["min_approvals"]) for n, b in self.state["branches"].items()]
         rows += [("tag", n, t["commit"], self.state["commits"][t["commit"]]["seq"], None, True, 0) for n, t in self.state["tags"].items()]
         return self.spark.createDataFrame(sorted(rows, key=lambda r: r[:2]), "kind string, name string, head string, seq long, parent string, protected boolean, min_approvals int")
 
+    @_published("admin")
     def protect(self, name: str, protected: bool = True, min_approvals: int = 1) -> None:
         self._branch(name).update(protected=protected, min_approvals=min_approvals)
-        self._save()
 
     # Merges
 
+    @_needs("read")
     def merge_base(self, a: str, b: str) -> list[str]:
-        """All common ancestors that are no ancestors of another one; a purged commit ends the walk."""
+        """All common ancestors that are no ancestors of another one, in time linear in the commits; a commit that is not there ends the walk."""
         commits = self.state["commits"]
 
-        def ancestors(start: str) -> set[str]:
-            seen, todo = set(), [start]
+        def ancestors(*start: str) -> set[str]:
+            seen, todo = set(), list(start)
             while todo:
                 c = todo.pop()
                 if c not in seen and c in commits:
@@ -424,18 +542,33 @@ class Repository:
             return seen
 
         common = ancestors(self._find(a)) & ancestors(self._find(b))
-        covered = set().union(*[ancestors(p) for c in common for p in commits[c]["parents"]]) if common else set()
-        return sorted(common - covered)
+        return sorted(common - ancestors(*[p for c in common for p in commits[c]["parents"]]))
+
+    @_needs("read")
+    def refs_with_parents(self) -> DataFrame:
+        """kind, name, parent and the parent's head, for those without a parent too."""
+        refs = self.refs()
+        heads = refs.where("kind = 'branch'").select(F.col("name").alias("parent"), F.col("head").alias("parent_head"))
+        return refs.select("kind", "name", "parent").join(heads, "parent", "left")
+
+    def pinned(self, branch_id: str) -> set[int]:
+        """Seqs of a branch that any branch, tag or open session stands on: their states are kept."""
+        chains = [b["chain"] for b in self.state["branches"].values()] + [t["chain"] for t in self.state["tags"].values()]
+        chains += [self.state["commits"][x["base"]]["chain"] for x in self.state["sessions"].values() if x["state"] == "open"]
+        return {q for c in chains for b, q in c if b == branch_id}
 
     def _judged(self, table: str, base: Chain, ours: Chain, theirs: Chain, version: sc.Version) -> tuple[DataFrame, list[str], list[str]]:
+        self._refuse_dropped(table, base)
         pk = self._keys(table, version)
         values = [c.name for c in version.columns if c.name not in pk]
         whole = [*base, *ours, *theirs]
         return mg.judge(mg.three_way_scan(self.log(table, whole, None, version), base, ours, theirs, pk, values), pk, values), pk, values
 
+    @_published("merge")
     def merge(self, table: str, source: str, target: str, author: str = "", message: str = "", apply: bool = True, limit: int | None = MERGE_LIMIT, chunked: bool = False, choices: DataFrame | None = None, base: str | None = None) -> MergeResult:
         """Merges source into target against their one merge base. Any conflict or violation applies nothing.
 
+        Changes are in the order of their keys, conflicts in that of key, kind and column.
         More than limit changed rows are refused unless chunked; the publication is one step either way.
         """
         if base is None:
@@ -450,8 +583,10 @@ class Repository:
             changes = changes.unionByName(mg.resolved(judged, pk, values, choices))
             conflicts = conflicts.join(choices.select(*pk, F.coalesce("column", F.lit("")).alias("__c")), [conflicts[k] == choices[k] for k in pk] + [F.coalesce(conflicts["column"], F.lit("")) == F.col("__c")], "left_anti")
         clean = conflicts.isEmpty()
-        violations = self.validate(table, target, changes) if clean else []
-        result = MergeResult(clean and not violations, changes, conflicts, violations)
+        violations = self.validate(table, target, changes if clean else changes.limit(0))
+        ordered = (changes.orderBy(*pk), conflicts.orderBy(*pk, "kind", "column"))
+        result = MergeResult(clean and violations.isEmpty(), *ordered, violations)
+        self.metrics.merge(result.clean)
         if apply and result.clean:
             if limit is not None and not chunked and changes.limit(limit + 1).count() > limit:
                 raise Refused(f"more than {limit} rows change; pass chunked=True")
@@ -459,6 +594,7 @@ class Repository:
             result.commit = done.commit
         return result
 
+    @_published("branch")
     def update_from_parent(self, table: str, branch: str, author: str = "") -> MergeResult | None:
         """Merges the parent's new commits into a branch, whose fork point and chain then move to the parent's head."""
         b = self._branch(branch)
@@ -470,31 +606,39 @@ class Repository:
         chain = [[b["id"], b["seq"]], [p["id"], p["seq"]], *p["chain"][1:]]
         version = self.schema(table, branch)
         judged, pk, values = self._judged(table, self._chain("main", b["fork"], None), self._chain(branch, None, None), self._chain(b["parent"], None, None), version)
-        conflicts = mg.conflicts(judged, pk, values)
-        if not conflicts.isEmpty():
-            return MergeResult(False, mg.merge_changes(judged, pk, values), conflicts, [])
-        changes = mg.merge_changes(judged, pk, values)
-        violations = self.validate(table, branch, changes)
-        if violations:
-            return MergeResult(False, changes, conflicts, violations)
-        done = self.commit(table, changes, branch, author, f"Update from {b['parent']}", extra_parents=[p["head"]])
-        b.update(fork=p["head"], fork_seq=p["seq"], chain=[[b["id"], b["seq"]], *chain[1:]])
-        self.state["commits"][done.commit]["chain"] = b["chain"]
-        self._save()
-        return MergeResult(True, changes, conflicts, [], done.commit)
-
-    def validate(self, table: str, branch: str, changes: DataFrame) -> list[dict]:
-        """not_null and unique violations of the branch with changes applied; one row per rule and value."""
+        changes, conflicts = mg.merge_changes(judged, pk, values), mg.conflicts(judged, pk, values)
+        clean = conflicts.isEmpty()
+        violations = self.validate(table, branch, changes if clean else changes.limit(0))
+        result = MergeResult(clean and violations.isEmpty(), changes.orderBy(*pk), conflicts.orderBy(*pk, "kind", "column"), violations)
+        if result.clean:
+            result.commit = self.commit(table, changes, branch, author, f"Update from {b['parent']}", extra_parents=[p["head"]]).commit
+            chain = [[b["id"], b["seq"]], *chain[1:]]
+            b.update(fork=p["head"], fork_seq=p["seq"], chain=chain)
+            self.state["commits"][result.commit] = {**self.state["commits"][result.commit], "chain": chain}
+        return result
+
+    @_needs("read")
+    def validate(self, table: str, branch: str, changes: DataFrame) -> DataFrame:
+        """What changes would break: rule (not_null or unique), columns, value (as text), rows.
+
+        One row for each column that changed rows leave empty, and for each value of a unique list that a changed
+        row would share. Only rows with a version that holds such a value are resolved.
+        """
         t, version = self._table(table), self.schema(table, branch)
         pk = self._keys(table, version)
-        names = [c.name for c in version.columns]
-        after = self.read(table, branch).join(changes.select(*pk), pk, "left_anti").unionByName(changes.where(F.col("op") != DELETE).select(*names))
-        out: list[dict] = []
-        required = [c.name for c in version.columns if not c.nullable]
-        if required:
-            out += [{"rule": "not_null", "columns": [r.column], "rows": r.n_rows} for r in ch.null_violations(after, required).collect()]
+        chain = self._chain(branch, None, None)
+        written = changes.where(F.col("op") != DELETE).select(*[c.name for c in version.columns])
+        out = self.spark.createDataFrame([], "rule string, columns array<string>, value array<string>, rows long")
+        if required := [c.name for c in version.columns if not c.nullable]:
+            out = out.unionByName(ch.null_violations(written, required).select(F.lit("not_null").alias("rule"), F.array("column").alias("columns"), F.lit(None).cast("array<string>").alias("value"), F.col("n_rows").alias("rows")))
+        log = self.log(table, chain, None, version)
         for columns in t["unique"]:
-            out += [{"rule": "unique", "columns": columns, "rows": r.n_rows, "value": [r[c] for c in columns]} for r in ch.unique_violations(after, columns, pk).limit(1000).collect()]
+            given = written.select(*columns).dropna().distinct()
+            keys = candidate_keys(log.join(given, columns, "left_semi"), chain, pk)
+            held = resolve(log.join(keys, pk, "left_semi").select(*log.columns), chain, pk).select(*written.columns)
+            after = held.join(changes.select(*pk), pk, "left_anti").unionByName(written)
+            found = ch.unique_violations(after, columns, pk).join(given, columns, "left_semi")
+            out = out.unionByName(found.select(F.lit("unique").alias("rule"), F.array(*[F.lit(c) for c in columns]).alias("columns"), F.array(*[F.col(c).cast("string") for c in columns]).alias("value"), F.col("n_rows").alias("rows")))
         return out
 
     # Sessions
@@ -507,15 +651,16 @@ class Repository:
             raise Refused(f"session {session} has expired")
         return s
 
+    @_published("write")
     def open_session(self, branch: str, principal: str) -> str:
         """A private overlay on a branch other than main, leased for a day."""
         if branch == "main":
             raise Refused("sessions are for branches")
         session = uuid.uuid4().hex
         self.state["sessions"][session] = {"branch": branch, "principal": principal, "base": self._branch(branch)["head"], "state": "open", "expires": self.clock() + LEASE_S * 1_000_000, "tables": []}
-        self._save()
         return session
 
+    @_published("write")
     def session_write(self, session: str, table: str, changes: DataFrame) -> None:
         """Stages changes; staging a key again replaces what it staged. Renews the lease."""
         s = self._session(session)
@@ -528,15 +673,13 @@ class Repository:
         stage = s.get("writes", 0) + 1
         self._write(table, rows, self._branch(s["branch"])["id"], stage, session, version)
         s.update(writes=stage, expires=self.clock() + LEASE_S * 1_000_000, tables=sorted({*s["tables"], table}))
-        self._save()
 
+    @_published("write")
     def commit_session(self, session: str, table: str, author: str, message: str = "") -> CommitResult:
         s = self._session(session)
         if self._branch(s["branch"])["head"] != s["base"]:
             raise Conflict(f"{s['branch']} moved since the session opened")
         version = self.schema(table, s["branch"])
-        from tidemark.plans.resolve import winners
-
         chain = [tuple(x) for x in self.state["commits"][s["base"]]["chain"]]
         log = self.log(table, chain, session, version)
         staged = winners(log.where(F.col("session_id") == session), chain, self._keys(table, version), session)
@@ -544,6 +687,7 @@ class Repository:
         self._end(session, "committed")
         return result
 
+    @_published("write")
     def abandon_session(self, session: str) -> None:
         self._end(session, "abandoned")
 
@@ -551,8 +695,8 @@ class Repository:
         self.state["sessions"][session]["state"] = state
         for t in self.state["tables"].values():
             t["files"] = [f for f in t["files"] if f["session"] != session]
-        self._save()
 
+    @_published("write")
     def reap_sessions(self) -> int:
         old = [i for i, s in self.state["sessions"].items() if s["state"] == "open" and s["expires"] < self.clock()]
         for i in old:
@@ -561,13 +705,14 @@ class Repository:
 
     # Proposals
 
+    @_published("branch")
     def propose(self, source: str, target: str, title: str, author: str, description: str = "") -> int:
         self._branch(source), self._branch(target)
         number = len(self.state["proposals"]) + 1
         self.state["proposals"][str(number)] = {"source": source, "target": target, "title": title, "description": description, "author": author, "state": "open", "reviews": [], "conflicts": [], "at": self.clock()}
-        self._save()
         return number
 
+    @_published("approve")
     def review(self, proposal: int, kind: str, principal: str, body: str = "") -> None:
         """kind: approve, request_changes or comment. Own approvals do not count on a protected target."""
         p = self._proposal(proposal)
@@ -580,17 +725,17 @@ class Repository:
         approvals = {who for who, k in latest.items() if k == "approve" and who != p["author"]}
         if p["state"] in ("open", "approved"):
             p["state"] = "approved" if "request_changes" not in latest.values() and len(approvals) >= max(1, self._branch(p["target"])["min_approvals"]) else "open"
-        self._save()
 
     def _proposal(self, number: int) -> dict:
         if str(number) not in self.state["proposals"]:
             raise NotFound(f"proposal {number}")
         return self.state["proposals"][str(number)]
 
+    @_published("branch")
     def close_proposal(self, number: int) -> None:
         self._proposal(number)["state"] = "closed"
-        self._save()
 
+    @_published("merge")
     def resolve_conflict(self, proposal: int, key: dict[str, Any], choice: str, column: str | None = None, value: Any = None, principal: str = "") -> None:
         """Records ours, theirs, base or value for a conflict; the next merge of the proposal applies it."""
         if choice not in ("ours", "theirs", "base", "value"):
@@ -598,8 +743,8 @@ class Repository:
         p = self._proposal(proposal)
         p["conflicts"] = [c for c in p["conflicts"] if (c["key"], c["column"]) != (key, column)]
         p["conflicts"].append({"key": key, "column": column, "choice": choice, "value": None if value is None else str(value), "by": principal})
-        self._save()
 
+    @_needs("merge")
     def merge_proposal(self, number: int, table: str, principal: str) -> MergeResult:
         """Gates, then the schema merge, then the data merge with recorded resolutions."""
         p = self._proposal(number)
@@ -614,8 +759,7 @@ class Repository:
             raise Refused(f"{len(approvals)} of {target['min_approvals']} approvals")
         merged = self.merge_schema(table, p["source"], p["target"], number)
         if merged["conflicts"]:
-            p["state"] = "conflicted"
-            self._save()
+            self._mark(number, "conflicted")
             raise Refused(f"schemas conflict: {merged['conflicts']}")
         if merged["plan"] is not None:
             raise Refused(f"plan {merged['plan']} is to be applied first")
@@ -625,17 +769,23 @@ class Repository:
             pk = self._keys(table, version)
             kinds = ", ".join(f"`{k}` {version.named(k).type}" for k in pk)
             choices = self.spark.createDataFrame([(*[c["key"][k] for k in pk], c["column"], c["choice"], c["value"]) for c in p["conflicts"]], f"{kinds}, column string, choice string, value string")
-        result = self.merge(table, p["source"], p["target"], principal, p["title"], choices=choices)
-        p["state"] = "merged" if result.clean else "conflicted"
-        self._save()
+        with self._change():
+            result = self.merge(table, p["source"], p["target"], principal, p["title"], choices=choices)
+            self._mark(number, "merged" if result.clean else "conflicted")
         return result
 
+    def _mark(self, number: int, state: str) -> None:
+        with self._change():
+            self._proposal(number)["state"] = state
+
+    @_needs("read")
     def proposals(self, *states: str) -> DataFrame:
         rows = [(int(n), p["source"], p["target"], p["title"], p["author"], p["state"], len(p["reviews"])) for n, p in self.state["proposals"].items() if not states or p["state"] in states]
         return self.spark.createDataFrame(sorted(rows, reverse=True), "proposal int, source string, target string, title string, author string, state string, reviews int")
 
     # Schemas
 
+    @_published("branch")
     def alter_schema(self, table: str, branch: str, columns: list[tuple], author: str = "") -> sc.Version:
         """columns: (name, type, nullable) or (name, type, nullable, id). Not on main: that takes a plan."""
         if branch == "main":
@@ -645,7 +795,6 @@ class Repository:
         if missing := [i for i in version.pk if version.column(i) is None]:
             raise Refused(f"key column {missing[0]} stays")
         self._put_schema(table, branch, version, author or self.state["repo"]["author"], f"Alter {table}")
-        self._save()
         return version
 
     def _put_schema(self, table: str, branch: str, version: sc.Version, author: str, message: str) -> None:
@@ -656,6 +805,7 @@ class Repository:
         t.setdefault("epochs", {}).setdefault(b["id"], []).append({**entry, "seq": b["seq"] + 1})
         self._append(table, branch, version, b["seq"] + 1, encoding.fold([]), [b["head"]], author, message, "", 0)
 
+    @_published("merge")
     def merge_schema(self, table: str, source: str, target: str, proposal: int | None = None) -> dict:
         """Three-way against the schema at the merge base; changes become a pending plan."""
         bases = self.merge_base(source, target)
@@ -667,13 +817,20 @@ class Repository:
             return {"plan": None, "conflicts": out.conflicts}
         number = len(self.state["plans"]) + 1
         self.state["plans"][str(number)] = {"table": table, "target": target, "proposal": proposal, "state": "pending", "done": [], "steps": [{"kind": s.kind, "level": int(s.level), "column": s.column.__dict__, "new_name": s.new_name} for s in steps], "epoch": ours.epoch}
-        self._save()
         return {"plan": number, "conflicts": []}
 
+    @_needs("read")
     def plans(self, *states: str) -> DataFrame:
         rows = [(int(n), p["table"], p["target"], p["state"], len(p["steps"]), len(p["done"])) for n, p in self.state["plans"].items() if not states or p["state"] in states]
         return self.spark.createDataFrame(sorted(rows, reverse=True), "plan int, table string, target string, state string, steps int, done int")
 
+    @_needs("read")
+    def plan_ddl(self, number: int, dialect: str = "spark") -> list[str]:
+        """A plan's steps as statements, for a live table kept outside."""
+        p = self.state["plans"][str(number)]
+        return [x for q in p["steps"] for x in ddl.statements(p["table"], sc.Step(0, q["kind"], sc.Class(q["level"]), sc.Column(**q["column"]), q["new_name"]), dialect)]
+
+    @_needs("merge")
     def apply_plan(self, number: int, confirm: bool = False, crash_after: int | None = None) -> sc.Version:
         """Runs a plan's steps, each recorded when done; a run that broke off goes on behind the last one."""
         p = self.state["plans"][str(number)]
@@ -681,7 +838,7 @@ class Repository:
         if (why := sc.confirmation(steps)) and not confirm:
             raise Refused("; ".join(why))
         for s in steps:
-            if s.ordinal in p["done"]:
+            if s.ordinal in self.state["plans"][str(number)]["done"]:
                 continue
             if crash_after is not None and s.ordinal >= crash_after:
                 raise RuntimeError("stopped")
@@ -701,36 +858,38 @@ class Repository:
                 columns[at] = sc.replace(columns[at], name=s.new_name)
             elif s.kind in ("alter_type", "set_not_null", "drop_not_null") and at is not None:
                 columns[at] = sc.replace(columns[at], type=s.column.type if s.kind == "alter_type" else columns[at].type, nullable={"set_not_null": False, "drop_not_null": True}.get(s.kind, columns[at].nullable))
-            if tuple(columns) != now.columns:
-                self._put_schema(p["table"], p["target"], sc.Version(tuple(columns), now.pk, tuple(sorted(dropped)), now.epoch + 1), self.state["repo"]["author"], f"Plan {number}: {s.kind}")
-            p["done"].append(s.ordinal)
-            self._save()
-        p["state"] = "applied"
-        self._save()
+            with self._change():
+                if tuple(columns) != now.columns:
+                    self._put_schema(p["table"], p["target"], sc.Version(tuple(columns), now.pk, tuple(sorted(dropped)), now.epoch + 1), self.state["repo"]["author"], f"Plan {number}: {s.kind}")
+                self.state["plans"][str(number)]["done"].append(s.ordinal)
+        with self._change():
+            self.state["plans"][str(number)]["state"] = "applied"
         return self.schema(p["table"], p["target"])
 
     # Personal data
 
+    @_published("admin")
     def designate_pii(self, table: str, column: str, subject: str) -> None:
         """Seals a text column under its subject's key, in history too. Key columns are refused."""
         t, version = self._table(table), sc_version(self._table(table), "")
+        if self.wrapping_key is None or len(self.wrapping_key) != 32:
+            raise Refused("sealing needs a wrapping key of 32 bytes")
         c = version.named(column)
         if c.id in t["pk"]:
             raise Refused("a key column cannot be sealed")
         log, old = self.log(table, None, None, version), t["files"]
         t["pii"][column] = subject
         self._rewrite(table, log, version)
-        self._save()
         self._vacuum(old)
 
     def _key_table(self) -> DataFrame:
-        """subject, key; a forgotten key is NULL and its row stays, so that it is not made anew."""
+        """subject, key, as stored: wrapped. A forgotten key is NULL and its row stays, so that it is not made anew."""
         if not self.state["key_files"]:
             return self.spark.createDataFrame([], "subject string, key binary")
         return self.spark.read.schema("subject string, key binary").parquet(*[f"{self.path}/{f}" for f in self.state["key_files"]])
 
     def _put_keys(self, keys: DataFrame) -> str:
-        relative = f"keys/{uuid.uuid4().hex}"
+        relative = self._folder("keys")
         keys.write.parquet(f"{self.path}/{relative}")
         return relative
 
@@ -743,10 +902,11 @@ class Repository:
             import pyarrow as pa
 
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([secrets.token_bytes(16) for _ in range(batch.num_rows)], pa.binary())], names=["subject", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([secrets.token_bytes(32) for _ in range(batch.num_rows)], pa.binary())], names=["subject", "key"])
 
         fresh = subjects.where("subject IS NOT NULL").distinct().join(self._key_table(), "subject", "left_anti")
-        self.state["key_files"].append(self._put_keys(fresh.select("subject").mapInArrow(draw, "subject string, key binary")))
+        drawn = fresh.select("subject").mapInArrow(draw, "subject string, key binary")
+        self.state["key_files"].append(self._put_keys(drawn.select("subject", privacy.wrap(F.col("key"), self.wrapping_key, F.col("subject")).alias("key"))))
 
     def _with_keys(self, name: str, rows: DataFrame, version: sc.Version, new: bool = False) -> DataFrame:
         """Adds the key of each sealed column's subject, by a join: subjects are as many as the data has."""
@@ -754,7 +914,12 @@ class Repository:
         for s in subjects:
             if new:
                 self._new_keys(rows.select(F.col(s).cast("string").alias("subject")))
-            rows = privacy.with_keys(rows, self._key_table(), s).withColumnRenamed("__key", f"__key_{s}")
+            keys = self._key_table()
+            if self.wrapping_key is not None:  # without it sealed values read as erased
+                keys = keys.select("subject", privacy.unwrap(F.col("key"), self.wrapping_key, F.col("subject")).alias("key"))
+            else:
+                keys = keys.select("subject", F.lit(None).cast("binary").alias("key"))
+            rows = privacy.with_keys(rows, keys, s).withColumnRenamed("__key", f"__key_{s}")
         return rows
 
     def _aad(self, name: str, column_id: int, version: sc.Version):
@@ -774,11 +939,10 @@ class Repository:
         return self._with_keys(name, df, version).withColumns(opened).select(*df.columns) if opened else df
 
     def _vacuum(self, old: list[dict]) -> None:
-        """Deletes folders that the published state no longer names. Frames read from them before fail."""
-        live = {f["path"] for t in self.state["tables"].values() for f in t["files"]}
-        for path in {f["path"] for f in old} - live:
-            self.store.delete(path)
+        """Folders that the next published state no longer names go with it. Frames read from them before fail."""
+        self._doomed += [f["path"] for f in old]
 
+    @_published("purge")
     def erase_subject(self, table: str, subject: str, author: str, reason: str = "") -> CommitResult:
         """Deletes the subject's current rows by a commit, then forgets the key: history reads as erased."""
         columns = set(self._table(table)["pii"].values())
@@ -790,29 +954,28 @@ class Repository:
         old = self.state["key_files"]
         forgotten = self._key_table().withColumn("key", F.when(F.col("subject") != subject, F.col("key")))
         self.state["key_files"] = [self._put_keys(forgotten)]
-        self._save()
-        for f in old:
-            self.store.delete(f)
+        self._doomed += old
         return result
 
     # Retention and checks
 
-    def _rewrite(self, table: str, rows: DataFrame, version: sc.Version) -> None:
-        """Replaces a table's files by one folder per branch, session and seq span."""
+    def _rewrite(self, table: str, rows: DataFrame, version: sc.Version, owners: list[tuple] | None = None, others: list[dict] = ()) -> None:
+        """Puts rows into one folder in place of a table's files but others; owners are the branches and sessions in it."""
         t = self._table(table)
-        old, t["files"] = t["files"], []
+        owners = sorted({(f["branch"], f["session"]) for f in t["files"]}, key=str) if owners is None else owners
+        t["files"] = list(others)
         rows = rows.select(*[x.name for x in META.fields], *[c.name for c in version.columns])
-        relative = f"data/{table}/{uuid.uuid4().hex}"
+        relative = self._folder("data", table)
         ready = self._with_keys(table, rows, version, new=True).select(*[x.name for x in META.fields], *[self._sealed(table, c, version).cast(c.type).alias(f"c_{c.id}") for c in version.columns])
         ready.repartition(*[F.col(f"c_{i}") for i in t["pk"]]).sortWithinPartitions("branch_id", *[f"c_{i}" for i in t["pk"]], "seq_from").write.parquet(f"{self.path}/{relative}")
-        for branch, session in sorted({(f["branch"], f["session"]) for f in old}, key=str):
+        for branch, session in owners:
             t["files"].append({"path": relative, "branch": branch, "seq": 0, "session": session, "order": 0, "columns": [[c.id, c.type] for c in version.columns], "shared": True})
 
+    @_published("admin")
     def compact(self, table: str) -> None:
         """Rewrites a table's small files into one sorted folder."""
         wide, old = self._widest(table), self._table(table)["files"]
         self._rewrite(table, self.log(table, None, None, wide), wide)
-        self._save()
         self._vacuum(old)
 
     def _widest(self, table: str) -> sc.Version:
@@ -824,14 +987,12 @@ class Repository:
                 known[c["id"]] = sc.Column(**c)
         return sc.Version(tuple(known[i] for i in sorted(known)), tuple(t["pk"]))
 
+    @_published("admin")
     def prune(self, table: str, keep_days: int | None = None, keep_commits: int | None = None) -> int:
         """Drops old closed versions of main; seqs that any chain, tag or session stands on are kept whole."""
         main = self._branch("main")
         own = [c for c in self.state["commits"].values() if c["branch"] == main["id"]]
-        chains = [b["chain"] for b in self.state["branches"].values()] + [t["chain"] for t in self.state["tags"].values()]
-        chains += [self.state["commits"][s["base"]]["chain"] for s in self.state["sessions"].values() if s["state"] == "open"]
-        pinned = [s for c in chains for b, s in c if b == main["id"]]
-        cutoff = retention.prune_cutoff(own, self.clock(), keep_days, keep_commits, pinned)
+        cutoff = retention.prune_cutoff(own, self.clock(), keep_days, keep_commits, sorted(self.pinned(main["id"])))
         version = self._widest(table)
         pk = self._keys(table, version)
         log = self.log(table, None, None, version)
@@ -839,10 +1000,11 @@ class Repository:
         if gone:
             old = self._table(table)["files"]
             self._rewrite(table, retention.prune(log, main["id"], cutoff, pk), version)
-            self._save()
+            self._thin(table, main["id"], 0, cutoff + 1)
             self._vacuum(old)
         return gone
 
+    @_published("admin")
     def gc(self, grace_s: int = 0) -> int:
         """Reaps sessions and drops files of branches deleted longer ago than the grace period."""
         self.reap_sessions()
@@ -852,17 +1014,16 @@ class Repository:
             dead = [f for f in t["files"] if f["branch"] in gone]
             n += len(dead)
             t["files"] = [f for f in t["files"] if f["branch"] not in gone]
-            live = {f["path"] for f in t["files"]}
-            for f in dead:
-                if f["path"] not in live:
-                    self.store.delete(f["path"])
+            self._vacuum(dead)
         for b in gone:
             del self.state["deleted"][b]
-        self._save()
         return n
 
+    @_published("purge")
     def purge(self, table: str, keys: DataFrame, reason: str, principal: str) -> int:
-        """Removes every version of keys everywhere and marks the commits that held them."""
+        """Removes every version of keys everywhere and marks the commits that held them. A reason is required."""
+        if not reason.strip():
+            raise Refused("a purge needs a reason")
         version = self._widest(table)
         pk = self._keys(table, version)
         log = self.log(table, None, None, version)
@@ -870,29 +1031,66 @@ class Repository:
         touched = {(r.branch_id, r.seq_from) for r in hit}
         old = self._table(table)["files"]
         self._rewrite(table, retention.purge(log, keys, pk), version)
-        for c in self.state["commits"].values():
+        for i, c in list(self.state["commits"].items()):
             if (c["branch"], c["seq"]) in touched and c["seq"] > 0:
-                c["integrity"] = "purged"
+                self.state["commits"][i] = {**c, "integrity": "purged"}
         self.state["purges"].append({"table": table, "reason": reason, "by": principal, "at": self.clock(), "versions": sum(r["count"] for r in hit)})
-        self._save()
         self._vacuum(old)
         return sum(r["count"] for r in hit)
 
+    def _refuse_dropped(self, table: str, chain: Chain) -> None:
+        for b, q in chain:
+            for branch, low, high in self._table(table).get("dropped", []):
+                if b == branch and low <= q < high and q not in self.pinned(b):
+                    raise NotFound(f"history of {table} from {low} to {high} was dropped")
+
+    @_published("admin")
     def drop_history(self, table: str, branch: str, from_seq: int, to_seq: int) -> int:
-        """Drops whole data folders whose seq lies in [from_seq, to_seq): no row is rewritten, and none comes back."""
+        """Drops the branch's versions that begin in [from_seq, to_seq) and that no branch, tag or open session shows.
+
+        So every such state stays as it is, and no old value and no deleted row comes back. Folders of which nothing
+        stays go without being read again; what stays of the others is written to one folder. Commits within the
+        range that nothing stands on can no longer be read. Returns how many versions went.
+        """
         t, b = self._table(table), self._branch(branch)
-        dead = [f for f in t["files"] if f["branch"] == b["id"] and from_seq <= f["seq"] < to_seq and f["session"] is None and not f.get("shared")]
-        t["files"] = [f for f in t["files"] if f not in dead]
-        self._save()
-        for f in dead:
-            self.store.delete(f["path"])
-        return len(dead)
+        version = self._widest(table)
+        pk = self._keys(table, version)
+        pins = sorted(self.pinned(b["id"]))
+        mine = intervals(self.log(table, None, None, version), pk).where(F.col("branch_id") == b["id"])
+        seen = F.exists(F.array(*[F.lit(q) for q in pins]), lambda q: (q >= F.col("seq_from")) & (q < F.col("seq_to")))
+        inside = F.col("seq_from").between(from_seq, to_seq - 1)
+        gone = mine.where(inside & ~seen).select("branch_id", "seq_from", "seq_to", *pk)
+        n, last = gone.agg(F.count("*"), F.max("seq_to")).first()
+        if not n:
+            return 0
+        hit = [f for f in t["files"] if f["session"] is None and ((f["branch"] == b["id"] and from_seq <= f["seq"] < to_seq) or f.get("shared"))]
+        paths = {f["path"] for f in hit}
+        # Entries of a shared folder stand for several branches and sessions: all of them move together.
+        hit = [f for f in t["files"] if f["path"] in paths]
+        rest = self.log(table, None, None, version, hit).join(gone.drop("seq_to"), ["branch_id", "seq_from", *pk], "left_anti")
+        t["files"] = [f for f in t["files"] if f["path"] not in paths]
+        if not rest.isEmpty():
+            old = sorted({(f["branch"], f["session"]) for f in hit}, key=str)
+            self._rewrite(table, rest, version, old, t["files"])
+        self._vacuum(hit)
+        # A state past the range may have shown what began within it.
+        t.setdefault("dropped", []).append([b["id"], from_seq, max(last, to_seq)])
+        self._thin(table, b["id"], from_seq, to_seq)
+        return n
+
+    def _thin(self, table: str, branch_id: str, low: int, high: int) -> None:
+        """Commits with seqs in [low, high) may lack rows: their ids still bind them, their digests cannot be told."""
+        for i, c in list(self.state["commits"].items()):
+            if c["branch"] == branch_id and low <= c["seq"] < high and c["table"] == table and c["integrity"] == "full":
+                self.state["commits"][i] = {**c, "integrity": "thinned"}
 
+    @_needs("read")
     def verify_drift(self, table: str, live: DataFrame) -> dict:
         version = self.schema(table)
         pk = self._keys(table, version)
         return retention.drift(live, self.read(table), pk, [c.name for c in version.columns if c.name not in pk]).first().asDict()
 
+    @_published("write")
     def capture(self, table: str, live: DataFrame, principal: str = "") -> dict:
         """Records drift of a live table in the drift log; guarded tables refuse it instead."""
         found = self.verify_drift(table, live)
@@ -900,18 +1098,19 @@ class Repository:
             if self._table(table)["write_mode"] == "guarded":
                 raise Refused(f"{table} was written directly: {found}")
             self.state["drift"].append({"table": table, "at": self.clock(), "by": principal, **found})
-            self._save()
         return found
 
+    @_published("admin")
     def set_write_mode(self, table: str, mode: str) -> None:
         if mode not in ("open", "guarded", "capture"):
             raise ValueError(mode)
         self._table(table)["write_mode"] = mode
-        self._save()
 
+    @_needs("read")
     def drift_events(self, table: str) -> int:
         return sum(e["table"] == table for e in self.state["drift"])
 
+    @_needs("read")
     def verify_integrity(self, deep: bool = False) -> list[str]:
         """Commits whose id does not follow from their content; deep also recomputes digests from rows."""
         bad = []
@@ -921,7 +1120,7 @@ class Repository:
             again = encoding.commit_id(bytes.fromhex(self.state["repo"]["id"]), [bytes.fromhex(p) for p in c["parents"]], bytes.fromhex(c["change"]), bytes.fromhex(c["schema"]), c["author"], c["at"], c["message"], c["external"]).hex()
             if again != i:
                 bad.append(i)
-            elif deep and c["table"] in self.state["tables"]:
+            elif deep and c["integrity"] == "full" and c["table"] in self.state["tables"]:
                 chain = [tuple(x) for x in c["chain"]]
                 version = self._schema_at(c["table"], chain)
                 own = self.log(c["table"], chain[:1], None, version).where((F.col("branch_id") == c["branch"]) & (F.col("seq_from") == c["seq"]))
@@ -937,6 +1136,7 @@ class Repository:
         leaf = encoding.leaf_digest(t["id"], F.col("op"), F.col("changed"), [typed[i] for i in t["pk"]], [(c.id, *typed[c.id]) for c in version.columns])
         return encoding.merkle_root(rows.select(leaf.alias("leaf")))
 
+    @_needs("read")
     def verify_intervals(self, table: str) -> DataFrame:
         version = self._widest(table)
         pk = self._keys(table, version)
@@ -944,6 +1144,7 @@ class Repository:
 
     # Sinks
 
+    @_needs("read")
     def materialize(self, branch: str = "main", prefix: str = "", copy: bool = False) -> list[str]:
         """Every table of a branch as a temporary view, or as saved tables with copy."""
         names = []
@@ -956,6 +1157,7 @@ class Repository:
             names.append(f"{prefix}{table}")
         return names
 
+    @_needs("read")
     def export(self, table: str, path: str, branch: str = "main") -> None:
         chain = self._chain(branch, None, None)
         version = self._schema_at(table, chain)
