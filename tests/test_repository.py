@@ -18,7 +18,7 @@ from tidemark.streaming.ingest import ingest
 
 PRODUCTS = "sku string, name string, category string, price decimal(12,2), updated_at timestamp"
 DAY = datetime(2026, 3, 2)
-ROWS = [("TENT-4P", "Four-person tent", "outdoor", Decimal("249.00"), DAY), ("STOVE-V1", "Camp stove", "outdoor", Decimal("89.50"), DAY), ("MUG-01", "Enamel mug", "kitchen", Decimal("12.00"), DAY)]
+ROWS = [("LAMP-2", "Desk lamp", "light", Decimal("240.00"), DAY), ("BULB-7", "Warm bulb", "light", Decimal("85.00"), DAY), ("DESK-3", "Oak desk", "wood", Decimal("12.00"), DAY)]
 
 
 class Clock:
@@ -37,31 +37,31 @@ def repo(spark, tmp_path):
     return r
 
 
-def price(repo, sku="TENT-4P", **where):
+def price(repo, sku="LAMP-2", **where):
     return repo.get("products", {"sku": sku}, **where)["price"]
 
 
 def put(repo, branch="main", author="ada", **values):
     """Commits one product with some columns replaced."""
-    spark, sku = repo.spark, values.pop("sku", "TENT-4P")
+    spark, sku = repo.spark, values.pop("sku", "LAMP-2")
     row = {**repo.get("products", {"sku": sku}, branch=branch), **values}
     return repo.commit("products", spark.createDataFrame([tuple(row[c] for c in ("sku", "name", "category", "price", "updated_at"))], PRODUCTS), branch, author)
 
 
 def test_time_travel(repo):
     first = put(repo, price=Decimal("255"))
-    second = put(repo, price=Decimal("268.92"))
+    second = put(repo, price=Decimal("276.00"))
     at = repo.state["commits"][first.commit]["at"]
-    assert (price(repo), price(repo, at=first.commit), price(repo, as_of=at)) == (Decimal("268.92"), Decimal("255"), Decimal("255"))
+    assert (price(repo), price(repo, at=first.commit), price(repo, as_of=at)) == (Decimal("276.00"), Decimal("255"), Decimal("255"))
     with pytest.raises(NotFound):
         repo.read("products", as_of=1)
     assert [r.seq for r in repo.history_log().collect()] == [2, 1, 0] and second.seq == 2
     assert repo.verify_integrity(deep=True) == []
     repo.state["commits"][first.commit]["message"] = "forged"
     assert repo.verify_integrity() == [first.commit]
-    found = repo.history("products", keys=repo.spark.createDataFrame([("TENT-4P",)], "sku string")).collect()
+    found = repo.history("products", keys=repo.spark.createDataFrame([("LAMP-2",)], "sku string")).collect()
     assert [(r.seq_from, r.op, r.author) for r in found] == [(2, 2, "ada"), (1, 2, "ada"), (0, 1, "ada")]
-    blamed = {r.column: r.commit_id for r in repo.blame("products").where("sku = 'TENT-4P'").collect()}
+    blamed = {r.column: r.commit_id for r in repo.blame("products").where("sku = 'LAMP-2'").collect()}
     assert blamed["price"] == second.commit and blamed["name"] not in (first.commit, second.commit)
     back = repo.revert("products", second.commit, author="ada")
     assert price(repo) == Decimal("255") and back.changed == 1
@@ -70,23 +70,23 @@ def test_time_travel(repo):
 
 
 def test_updates_by_predicate(repo):
-    done = repo.update_where("products", Col("category") == "outdoor", {"price": Arith("*", Ref("price"), Const(Decimal("1.08")))}, author="ada")
-    assert done.changed == 2 and price(repo) == Decimal("268.92") and price(repo, "STOVE-V1") == Decimal("96.66")
+    done = repo.update_where("products", Col("category") == "light", {"price": Arith("*", Ref("price"), Const(Decimal("1.15")))}, author="ada")
+    assert done.changed == 2 and price(repo) == Decimal("276.00") and price(repo, "BULB-7") == Decimal("97.75")
     assert repo.commit("products", repo.read("products"), author="ada").changed == 0
-    assert {(r.sku, r.op) for r in repo.diff("products", from_seq=0).collect()} == {("TENT-4P", 2), ("STOVE-V1", 2)}
+    assert {(r.sku, r.op) for r in repo.diff("products", from_seq=0).collect()} == {("LAMP-2", 2), ("BULB-7", 2)}
     repo.branch("b")
-    put(repo, "b", sku="MUG-01", category="outdoor")
-    assert repo.read("products", "b", where=Col("category") == "outdoor").count() == 3
-    assert repo.read("products", where=Col("category") == "outdoor").count() == 2
-    assert repo.delete_where("products", Col("category") == "kitchen", author="ada").changed == 1
+    put(repo, "b", sku="DESK-3", category="light")
+    assert repo.read("products", "b", where=Col("category") == "light").count() == 3
+    assert repo.read("products", where=Col("category") == "light").count() == 2
+    assert repo.delete_where("products", Col("category") == "wood", author="ada").changed == 1
     assert repo.read("products").count() == 2 and repo.read("products", "b").count() == 3
 
 
 def test_validation(repo):
-    rename = lambda name: repo.read("products").where("sku = 'MUG-01'").withColumn("name", F.lit(name)).withColumn("op", F.lit(2))
-    found = repo.validate("products", "main", rename("Camp stove")).collect()
-    assert [(v.rule, v.columns, v.value, v.rows) for v in found] == [("unique", ["name"], ["Camp stove"], 2)]
-    assert repo.validate("products", "main", rename("Enamel mug XL")).isEmpty()
+    rename = lambda name: repo.read("products").where("sku = 'DESK-3'").withColumn("name", F.lit(name)).withColumn("op", F.lit(2))
+    found = repo.validate("products", "main", rename("Warm bulb")).collect()
+    assert [(v.rule, v.columns, v.value, v.rows) for v in found] == [("unique", ["name"], ["Warm bulb"], 2)]
+    assert repo.validate("products", "main", rename("Oak desk XL")).isEmpty()
 
 
 def test_refusals(repo, spark):
@@ -120,9 +120,9 @@ def test_refusals(repo, spark):
 def test_merges_conflicts_and_proposals(repo, spark):
     repo.branch("sale")
     put(repo, "sale", price=Decimal("200"))
-    put(repo, name="Big tent")
+    put(repo, name="Tall lamp")
     clean = repo.merge("products", "sale", "main", "ada")
-    assert clean.clean and price(repo) == Decimal("200") and repo.get("products", {"sku": "TENT-4P"})["name"] == "Big tent"
+    assert clean.clean and price(repo) == Decimal("200") and repo.get("products", {"sku": "LAMP-2"})["name"] == "Tall lamp"
     assert len(repo.state["commits"][clean.commit]["parents"]) == 2
     put(repo, "sale", price=Decimal("190"))
     put(repo, price=Decimal("210"))
@@ -141,7 +141,7 @@ def test_merges_conflicts_and_proposals(repo, spark):
         repo.merge_proposal(n, "products", "ada")
     repo.review(n, "approve", "eve")
     assert not repo.merge_proposal(n, "products", "ada").clean
-    repo.resolve_conflict(n, {"sku": "TENT-4P"}, "theirs", "price")
+    repo.resolve_conflict(n, {"sku": "LAMP-2"}, "theirs", "price")
     assert repo.merge_proposal(n, "products", "ada").clean and price(repo) == Decimal("190")
     assert repo.proposals("merged").count() == 1
 
@@ -149,10 +149,10 @@ def test_merges_conflicts_and_proposals(repo, spark):
 def test_update_from_parent_moves_one_branch(repo):
     repo.branch("a")
     repo.branch("b", "a")
-    put(repo, sku="MUG-01", price=Decimal("15"))
-    assert price(repo, "MUG-01", branch="a") == Decimal("12.00")
+    put(repo, sku="DESK-3", price=Decimal("15"))
+    assert price(repo, "DESK-3", branch="a") == Decimal("12.00")
     repo.update_from_parent("products", "a", "ada")
-    assert price(repo, "MUG-01", branch="a") == Decimal("15") and price(repo, "MUG-01", branch="b") == Decimal("12.00")
+    assert price(repo, "DESK-3", branch="a") == Decimal("15") and price(repo, "DESK-3", branch="b") == Decimal("12.00")
     assert repo.update_from_parent("products", "a", "ada") is None
     assert repo.merge("products", "a", "main", "ada").changes.count() == 0
 
@@ -162,11 +162,11 @@ def test_sessions(repo, spark):
     with pytest.raises(Refused):
         repo.open_session("main", "ada")
     s, other = repo.open_session("work", "ada"), repo.open_session("work", "bob")
-    row = repo.read("products").where("sku = 'MUG-01'")
+    row = repo.read("products").where("sku = 'DESK-3'")
     repo.session_write(s, "products", row.withColumn("price", F.lit(1)))
     repo.session_write(s, "products", row.withColumn("price", F.lit(2)))
     repo.session_write(other, "products", row.withColumn("price", F.lit(9)))
-    see = lambda **w: repo.read("products", where=Col("sku") == "MUG-01", **w).first().price
+    see = lambda **w: repo.read("products", where=Col("sku") == "DESK-3", **w).first().price
     assert (see(session=s), see(session=other), see(branch="work")) == (2, 9, 12)
     assert repo.commit_session(s, "products", "ada").changed == 1 and see(branch="work") == 2
     with pytest.raises(Conflict):
@@ -186,7 +186,7 @@ def test_schema_changes(repo, spark):
     before = repo.state["branches"]["main"]["head"]
     columns = [(c.name, c.type, c.nullable) for c in repo.schema("products").columns]
     repo.alter_schema("products", "wide", [*columns, ("margin", "decimal(5,2)", True)])
-    put_row = repo.read("products", "wide").where("sku = 'MUG-01'").withColumn("margin", F.lit(1.5))
+    put_row = repo.read("products", "wide").where("sku = 'DESK-3'").withColumn("margin", F.lit(1.5))
     repo.commit("products", put_row, "wide", "ada")
     assert "margin" not in repo.read("products").columns
     plan = repo.merge_schema("products", "wide", "main")["plan"]
@@ -220,7 +220,7 @@ def test_retention(repo, spark):
     put(repo, "gone", price=Decimal(1))
     repo.delete_branch("gone")
     assert repo.gc(grace_s=10**6) == 0 and repo.gc() == 1
-    assert repo.purge("products", spark.createDataFrame([("MUG-01",)], "sku string"), "asked", "ada") == 1
+    assert repo.purge("products", spark.createDataFrame([("DESK-3",)], "sku string"), "asked", "ada") == 1
     assert repo.read("products").count() == 2
     assert repo.verify_drift("products", spark.createDataFrame(ROWS, PRODUCTS)) == {"live_only": 1, "version_only": 0, "mismatched": 1}
     repo.set_write_mode("products", "guarded")
@@ -262,10 +262,10 @@ def test_sinks_streams_and_commands(repo, spark, tmp_path, capsys):
     assert spark.sql("SELECT count(*) AS n FROM m_products WHERE price > 50").first().n == 2
     repo.export("products", str(tmp_path / "out"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()]
-    assert sum('"record":"version"' in x for x in lines) == 3 and sum('"record":"column"' in x for x in lines) == 5 and any('"price":"249"' in x for x in lines)
+    assert sum('"record":"version"' in x for x in lines) == 3 and sum('"record":"column"' in x for x in lines) == 5 and any('"price":"240"' in x for x in lines)
     source = str(tmp_path / "in")
     for i in range(2):
-        spark.createDataFrame([("MUG-01", f"mug {i}", "kitchen", Decimal(i + 1), DAY, i), ("NEW", f"new {i}", "kitchen", Decimal(i + 1), DAY, i)], PRODUCTS + ", n int").coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame([("DESK-3", f"mug {i}", "wood", Decimal(i + 1), DAY, i), ("NEW", f"new {i}", "wood", Decimal(i + 1), DAY, i)], PRODUCTS + ", n int").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(PRODUCTS + ", n int").parquet(source)
     for _ in range(2):
         ingest(stream, repo, "products", str(tmp_path / "check"), "stream", order="n").awaitTermination()

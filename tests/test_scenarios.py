@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import scenarios
+from tidemark import repository_queries, scenarios  # noqa: F401
 from tidemark.plans.resolve import resolve
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

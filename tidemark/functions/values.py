@@ -77,6 +77,11 @@ def mask_or(left: Column, right: Column) -> Column:
     return F.array_sort(F.array_union(left, right))
 
 
+def mask_union(masks: Column) -> Column:
+    """All ids of the masks of a group, an aggregate; each different mask is kept once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(masks))))
+
+
 def mask_intersects(left: Column, right: Column) -> Column:
     return F.arrays_overlap(left, right)
 

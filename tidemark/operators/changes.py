@@ -16,10 +16,14 @@ class DuplicateKey(ValueError):
     pass
 
 
+def bad_keys(rows: DataFrame, pk: list[str]) -> DataFrame:
+    """Keys that are NULL or given more than once, with n, how often."""
+    return rows.groupBy(*pk).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.greatest(*[F.col(k).isNull() for k in pk], F.lit(False)))
+
+
 def check_keys(rows: DataFrame, pk: list[str]) -> None:
     """Raises on a key that is NULL or given twice."""
-    bad = rows.groupBy(*pk).count().where((F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in pk], F.lit(False))).limit(1).collect()
-    if bad:
+    if bad := bad_keys(rows, pk).limit(1).collect():
         raise DuplicateKey(f"key {[bad[0][k] for k in pk]} is null or given more than once")
 
 

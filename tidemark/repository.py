@@ -229,7 +229,7 @@ class Repository:
             raise UnsupportedType(f"{name}.{refused[0]} has a type that versioned tracking does not hold")
         ch.check_keys(df, pk)
         columns = [{"id": c["id"], "name": c["name"], "type": c["type"], "nullable": c["nullable"] and c["name"] not in pk} for c in found]
-        table = {"id": len(self.state["tables"]) + 1, "mode": mode, "pk": [c["id"] for c in columns if c["name"] in pk], "unique": [list(u) for u in unique], "files": [], "write_mode": write_mode, "pii": {}, "policy": {}, "schemas": {"": {"epoch": 0, "columns": columns, "dropped": []}}, "partitions": []}
+        table = {"id": len(self.state["tables"]) + 1, "mode": mode, "pk": [c["id"] for c in columns if c["name"] in pk], "unique": [list(u) for u in unique], "files": [], "write_mode": write_mode, "pii": {}, "schemas": {"": {"epoch": 0, "columns": columns, "dropped": []}}}
         table["pk"] = [next(c["id"] for c in columns if c["name"] == k) for k in pk]
         self.state["tables"][name] = table
         main = self._branch("main")

@@ -137,14 +137,6 @@ def boolean_filter(spark, sf_dir):
     return resolve(part_log(spark, sf_dir), CHAIN1, PK, where=And([Not(Or([Col("p_size") < 10, Col("p_size") >= 40])), Col("p_brand") != "Brand#11"]))
 
 
-@query(f"SELECT count(*) AS n_rows, count(*) FILTER (p_name IS NULL) AS n_null, count(*) FILTER (p_size <= 25) AS n_small FROM ({_PICK.format(arms=_BASE + ' UNION ALL ' + _FIRST.replace('p_name, p_brand', 'CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_name END AS p_name, p_brand', 1))})")
-def null_filter(spark, sf_dir):
-    rows = winners(part_log(spark, sf_dir), CHAIN1, PK)
-    return rows.withColumn("p_size", F.coalesce("p_size", F.lit(None))).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size")), "p_partkey").agg(
-        F.count("*").alias("n_rows"), F.count(F.when(F.col("p_name").isNull(), 1)).alias("n_null"), F.count(F.when(F.col("size") <= 25, 1)).alias("n_small")
-    )
-
-
 _STAGED = "SELECT -1 AS prio, CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 2 END AS op, p_partkey, p_name, p_brand, p_type, p_size + 100 AS p_size, p_retailprice FROM part WHERE p_partkey % 6 = 0"
 
 
@@ -197,16 +189,6 @@ def version_intervals(spark, sf_dir):
     return intervals(events_log(spark, sf_dir), USERS).select("user_id", "seq_from", "seq_to", "op", "event_id")
 
 
-@query(f"SELECT user_id, seq_from, op, event_type, value, c_name AS author FROM ({_LOG}) LEFT JOIN customer ON c_custkey = event_id % 100 + 1 WHERE seq_from <= {micros(T2)}")
-def history_of_keys(spark, sf_dir):
-    log = events_log(spark, sf_dir)
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("author"))
-    notes = log.withColumn("k", F.col("event_id") % 100 + 1).join(F.broadcast(names.where("k <= 100")), "k", "left").select("branch_id", F.col("seq_from").alias("seq"), F.col("event_id").cast("string").alias("commit_id"), "author", F.timestamp_micros("seq_from").alias("committed_at"), F.lit("").alias("message"), F.col("user_id").alias("u"))
-    # Seqs are per user in this log, so the commit of a version is found by user as well.
-    seen = log.where(F.col("seq_from") <= micros(T2)).join(notes.select(F.col("seq").alias("seq_from"), F.col("u").alias("user_id"), "author"), ["user_id", "seq_from"], "left")
-    return seen.select("user_id", "seq_from", "op", "event_type", "value", "author")
-
-
 _BLAME = """
 SELECT user_id, 'event_type' AS "column", min(seq_from) AS seq_from, arg_min(event_type, seq_from) AS value FROM (
   SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY seq_from DESC) AS run FROM (
@@ -390,14 +372,6 @@ def decimal_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.decimal_text(F.col("p_retailprice").cast("decimal(12,2)")).alias("price"))
 
 
-@query("SELECT c_nationkey AS k, bit_or(1::BIGINT << (c_custkey % 3)::BIGINT) AS mask, bool_or(c_custkey % 3 = 1) AS touches FROM customer GROUP BY c_nationkey")
-def mask_union(spark, sf_dir):
-    """Changed-column sets per key, united over versions, without gathering the versions."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 3).alias("i"))
-    bits = c.groupBy("k").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i").cast("int"))).alias("mask"))
-    return bits.select("k", "mask", (F.col("mask").bitwiseAND(F.lit(2)) != 0).alias("touches"))
-
-
 # Validation
 
 
@@ -419,11 +393,6 @@ def validate_foreign(spark, sf_dir):
     return changes.foreign_violations(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), ["l_orderkey"], o, ["o_orderkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
-def duplicate_keys(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
-
-
 # Retention and checks
 
 
@@ -492,11 +461,6 @@ def page_after_composite(spark, sf_dir):
     return resolve(_versions(c, "main", 0, 1), [MAIN], ["conv_id", "turn"], after={"conv_id": 7, "turn": 1}, limit=20)
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id = 3 ORDER BY ts DESC LIMIT 20")
-def log_newest(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id = 3").orderBy(F.col("ts").desc()).limit(20).select("event_id", "user_id")
-
-
 @query("SELECT id, name, type, kind FROM (VALUES (1, 'n_nationkey', 'int', 2), (2, 'n_name', 'string', 5), (3, 'n_regionkey', 'int', 2)) v(id, name, type, kind)")
 def introspect(spark, sf_dir):
     rows = connect.introspect(connect.open_table(spark, f"{sf_dir}/nation.parquet"))
@@ -550,47 +514,3 @@ def materialized_orders(spark, sf_dir):
     log = _versions(o, "main", 0, 1).unionByName(_versions(o.where("o_orderkey % 9 = 0"), "b1", 1, 3))
     live = resolve(log, CHAIN1, ["o_orderkey"])
     return live.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_brand, p_size FROM part WHERE p_size <> 7 EXCEPT SELECT p_brand, p_size FROM part WHERE p_partkey % 3 = 0")
-def removed_values(spark, sf_dir):
-    """Set difference of two states' values, each value once."""
-    p = table(spark, sf_dir, "part")
-    return p.where("p_size <> 7").select("p_brand", "p_size").subtract(p.where("p_partkey % 3 = 0").select("p_brand", "p_size"))
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10")
-def common_keys(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    rich = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(rich, "c_custkey", "left_semi").select("c_custkey").intersect(c.where("c_nationkey < 10").select("c_custkey"))
-
-
-@query("SELECT 'branch' AS kind, p.n_name AS parent, c.n_name AS name FROM nation c LEFT JOIN nation p ON p.n_nationkey = c.n_regionkey AND c.n_regionkey <> 0")
-def refs_with_parents(spark, sf_dir):
-    """Refs beside the names of their parents, those without one too."""
-    n = table(spark, sf_dir, "nation")
-    parents = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("parent"))
-    return n.join(F.broadcast(parents), (F.col("k") == F.col("n_regionkey")) & (F.col("n_regionkey") != 0), "left").select(F.lit("branch").alias("kind"), "parent", F.col("n_name").alias("name"))
-
-
-@query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS p_size FROM part")
-def schema_epoch_projection(spark, sf_dir):
-    """A log whose even rows were written before a column was dropped, read by the version that has p_size last."""
-    p = table(spark, sf_dir, "part")
-    wide = p.where("p_partkey % 2 = 0").select("p_partkey", "p_name", "p_size")
-    return wide.unionByName(p.where("p_partkey % 2 = 1").select("p_partkey", "p_name"), allowMissingColumns=True)
-
-
-@query("SELECT o_orderkey % 16 AS bucket, count(*) AS n FROM orders WHERE o_orderkey % 16 NOT BETWEEN 4 AND 7 GROUP BY o_orderkey % 16")
-def dropped_partitions(spark, sf_dir):
-    """History without the folders of a span of seqs: a filter on the partition column, which prunes them."""
-    o = table(spark, sf_dir, "orders").withColumn("bucket", F.col("o_orderkey") % 16)
-    return o.where(~F.col("bucket").between(4, 7)).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
-@query("SELECT approx.p50 AS p50, approx.n AS n FROM (SELECT quantile_disc(value, 0.5) AS p50, count(*) AS n FROM events) approx")
-def latency_summary(spark, sf_dir):
-    """Exact median and count of a measured value."""
-    e = table(spark, sf_dir, "events")
-    return e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.count("*").alias("n"))
