@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS_A_FILE = 500_000
 #: What operators keep in a Python worker between its tasks, by name.
 _KEPT: dict[str, dict] = {}
 
@@ -23,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package when the session was started from elsewhere."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -75,20 +84,18 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The folder goes when the driver ends, or before that by release.
+    With rows, a bound on narrow rows that is known, there is one file for each ROWS_A_FILE of them, not one for each
+    shuffle partition. The folder goes when the driver ends, or before that by release.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     fs, where = _at(spark, path)
     fs.deleteOnExit(where)
     with shuffle_cleanup(spark):
-        writer = df.write.option("compression", codec)
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

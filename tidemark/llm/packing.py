@@ -122,5 +122,9 @@ def assign(cut: DataFrame, limit: int = LIMIT, group_size: int = GROUP) -> DataF
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """One row per piece with its place. Null and empty texts are one piece, the end id alone. No rows give no rows."""
+    """One row per piece with its place.
+
+    Null and empty texts are one piece, the end id alone. Null and repeated ids stay as they are: each row has pieces
+    of its own, numbered from 0. Other columns are ignored, whatever their names. No rows give no rows.
+    """
     return assign(materialize(pieces(docs, tokenizer_path, limit, end_id), "pieces"), limit)
