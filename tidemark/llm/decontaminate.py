@@ -52,7 +52,8 @@ def template(text: Column) -> Column:
     A run of numbers is one slot, of its first and its last value.
     """
     # The marks of placeholders are no part of a text's own words.
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>:_", "    ")
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    t = F.when(F.contains(t, F.lit("<")) | F.contains(t, F.lit(">")) | F.contains(t, F.lit(":")) | F.contains(t, F.lit("_")), F.translate(t, "<>:_", "    ")).otherwise(t)
     t = F.lower(F.regexp_replace(t, _NAME, "<name:$0>"))
     # A number without a unit leaves an empty unit slot, which both sides have.
     t = F.regexp_replace(t, _NUMBER, "<num:$1_$2$3$4> <unit:$5>")
@@ -63,14 +64,16 @@ def template(text: Column) -> Column:
 def _windows(width: int) -> str:
     """SQL of (pos, hash, slots) of the windows at every word of w, whose hashes are p: the last bit marks a placeholder."""
     at = [f"p[i + {k}]" for k in range(width)]
-    slots = " + ".join(f"({x} & 1)" for x in at)
+    slots = " + ".join(f"({x} & 1L)" for x in at)
     whole = f"xxhash64({width}, {', '.join(at)})"
     valued = f"xxhash64({width}, array_join(slice(w, i + 1, {width}), ' '))"
-    one = f"named_struct('pos', i, 'hash', if({slots} <= {width - PLAIN}, {whole}, {valued}), 'slots', if({slots} = 0, null, filter(slice(w, i + 1, {width}), x -> startswith(x, '<'))))"
+    empty = "cast(null AS array<string>)"
+    marked = f"named_struct('pos', i, 'hash', if({slots} <= {width - PLAIN}L, {whole}, {valued}), 'slots', filter(slice(w, i + 1, {width}), x -> startswith(x, '<')))"
+    one = f"if(({' | '.join(at)}) & 1L = 0L, named_struct('pos', i, 'hash', {whole}, 'slots', {empty}), {marked})"
     return f"if(size(w) >= {width}, transform(sequence(0, size(w) - {width}), i -> {one}), array())"
 
 
-_HASHES = "transform(w, x -> if(startswith(x, '<'), xxhash64(substring_index(x, ':', 1)) | 1, shiftleft(shiftright(xxhash64(x), 1), 1)))"
+_HASHES = "transform(w, x -> if(startswith(x, '<'), xxhash64(substring_index(x, ':', 1)) | 1L, xxhash64(x) & -2L))"
 
 
 def _words(rows: DataFrame, text: Column, *keep: Column) -> DataFrame:
