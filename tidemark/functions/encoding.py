@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import values as V
+from tidemark.workers import ship
 
 #: Separates these commit ids from all others; a chain written under another domain names it to be verified.
 DOMAIN = b"tidemark.commit.v1"
@@ -156,6 +157,7 @@ def fold(nodes: list[bytes]) -> bytes:
 def merkle_root(leaves: DataFrame, column: str = "leaf") -> bytes:
     """The root over the sorted leaves. Blocks of BLOCK leaves fold on the executors, their roots on the driver."""
     spark = leaves.sparkSession
+    ship(spark)
     ordered = leaves.select(F.col(column).alias("leaf")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf").sortWithinPartitions("leaf").persist()
     try:
         sizes = {r.p: r.n for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
