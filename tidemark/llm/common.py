@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import re
 import tempfile
 import uuid
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.workers import ship  # noqa: F401
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS_A_FILE = 500_000
 #: What operators keep in a Python worker between its tasks, by name.
@@ -32,15 +33,6 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the session was started from elsewhere."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
-
-
 def kept(name: str) -> dict:
     """A worker's store of what an operator loads once, such as a tokenizer."""
     return _KEPT.setdefault(name, {})
@@ -176,7 +168,7 @@ def hot_rows(many: DataFrame, one: DataFrame, on: str, most_hot: int = 50_000, l
     """The rows of one, which has a row a key, whose key least rows of many or more hold; at most most_hot."""
     rows = many.count()
     counts = many.groupBy(on).agg(F.count("*").alias("__n")).where(F.col("__n") >= max(least, -(-rows // most_hot)))
-    return materialize(one.join(counts.select(on), on, "left_semi"), "hot")
+    return one.limit(0) if counts.isEmpty() else materialize(one.join(counts.select(on), on, "left_semi"), "hot")
 
 
 def join_hot(many: DataFrame, one: DataFrame, on: str, hot: DataFrame | None = None) -> DataFrame:
