@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_only, materialize, ship, slices_of
+from tidemark.llm.common import join_hot, keep_only, materialize, release, ship, slices_of
 
 SEED = 42
 SHARD_LIMIT = 4096
@@ -236,8 +236,8 @@ def links(prints: DataFrame, radius: int = 3, limit: int = SHARD_LIMIT) -> DataF
         )
         sizes = dealt.groupBy("path", "key").agg(F.count("*").alias("n"))
         more = all(len(free) > 2 * (radius + 1) for free in deeper.values())
-        large = materialize(sizes.where(F.col("n") > limit), "shards") if more else None
-        n_large = large.count() if more else 0
+        n_large = sizes.where(F.col("n") > limit).count() if more else 0
+        large = materialize(sizes.where(F.col("n") > limit), "shards", rows=n_large) if n_large else None
         small = dealt
         if n_large:
             small = dealt.join(large.select("path", "key"), ["path", "key"], "left_anti")
@@ -280,34 +280,65 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round every node takes the least label among itself and its neighbours, then the label of that
     label (pointer jumping), so the rounds grow with the logarithm of a component's diameter.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0")
+    n = 2 * edges.count()
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges", rows=n)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0", rows=n)
     for step in range(1, 200):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         hooked = labels.join(near, "node").select("node", F.least("component", "seen").alias("label"), F.col("component").alias("old"))
-        hooked = materialize(hooked, f"{name}-{step}-hook")
+        hooked = materialize(hooked, f"{name}-{step}-hook", rows=n)
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = materialize(hooked.join(up, "label").select("node", F.least("label", "up").alias("component"), "old"), f"{name}-{step}")
+        after = materialize(hooked.join(up, "label").select("node", F.least("label", "up").alias("component"), "old"), f"{name}-{step}", rows=n)
+        release(labels, hooked)
         labels = after.select("node", "component")
+        labels.scratch = after.scratch
         if after.where("component <> old").isEmpty():
+            release(both)
             return labels
     raise RuntimeError("labels did not settle")
 
 
+def roots(parents: DataFrame, name: str = "roots") -> DataFrame:
+    """(node, component) for every node of a forest (node, parent) of one parent each, less than the node; component is the root.
+
+    Each round takes the parent's parent, so the rounds grow with the logarithm of the depth.
+    """
+    n = parents.count()
+    for step in range(200):
+        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        after = materialize(parents.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), f"{name}-{step}", rows=n)
+        if step:
+            release(parents)
+        parents = after.select("node", "parent")
+        parents.scratch = after.scratch
+        if after.where("moved").isEmpty():
+            out = parents.withColumnRenamed("parent", "component")
+            tops = out.select(F.col("component").alias("node"), "component").distinct()
+            found = materialize(out.unionByName(tops), name, rows=2 * n)
+            release(parents)
+            return found
+    raise RuntimeError("the forest did not end")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
-    Null and empty texts have fingerprint zero, which links like any other. Repeated rows stay repeated.
-    An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Null and empty texts have fingerprint zero, which links like any other. A null id counts for nothing in
+    component_id, which is null where no document of a group has an id. Repeated rows stay repeated. An empty table
+    gives an empty result. Other columns are ignored, whatever their names. Very long texts are hashed as a whole.
     """
     prints = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", width, "fp"), "fingerprints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    reach = components(materialize(links(least.select(F.lit(0).alias("view"), "fp"), radius).select("a", "b"), "links"))
+    edges = materialize(links(least.select(F.lit(0).alias("view"), "fp"), radius).select("a", "b"), "links")
+    reach = components(edges)
     tops = least.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    tops = materialize(tops, "tops")
-    roots = materialize(tops.groupBy("component").agg(F.min("least").alias("component_id")), "roots")
-    named = materialize(tops.join(roots, "component").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    n = least.count()
+    tops = materialize(tops, "tops", rows=n)
+    first = materialize(tops.groupBy("component").agg(F.min("least").alias("component_id")), "firsts", rows=n)
+    named = materialize(tops.join(first, "component").select("fp", "component_id"), "named", rows=n)
+    release(least, edges, reach, tops, first)
+    # Copies of one text may be a third of all rows.
+    return join_hot(prints, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def candidate_links(classes: DataFrame, radius: int) -> DataFrame:
@@ -321,10 +352,6 @@ def candidate_links(classes: DataFrame, radius: int) -> DataFrame:
     return star.unionByName(near.select(F.col("top_a").alias("a"), F.col("top_b").alias("b")))
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def band_members(classes: DataFrame) -> DataFrame:
     """key, class, size, top and top_size of every class that shares a band; top is the least class of the band."""
     spread = classes.select(F.explode("bands").alias("key"), "class", "size")
@@ -341,7 +368,9 @@ def open_pairs(members: DataFrame, judged: DataFrame, named: DataFrame, sets: Da
     """Pairs (a, b) in bands of several components that are not judged, lie in different ones and can reach LEAST.
 
     Two sets of n shingles or more can reach LEAST only where they share one of the n - LEAST * n + 1 that are
-    rarest among these classes, so only those are joined; shingles that a class has alone take places and join nothing.
+    rarest among these classes, so only those are joined; shingles that a class has alone take places and join
+    nothing. A pair meets at the first of those that it shares, and nowhere else; and only where what stands behind
+    it in both can still make up the overlap that LEAST asks of two sets of their sizes.
     """
     label = named.select(F.col("node").alias("class"), "component")
     rows = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -349,14 +378,21 @@ def open_pairs(members: DataFrame, judged: DataFrame, named: DataFrame, sets: Da
     left = materialize(rows.join(split, "key", "left_semi").select("class", "component", "size").distinct(), "open")
     words = left.join(sets, "class").select("class", "component", "size", F.explode("shingles").alias("s"))
     common = words.join(words.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
-    whole, ordered = Window.partitionBy("class"), Window.partitionBy("class").orderBy("df", "s")
-    places = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-9) + 1 - (F.col("size") - F.count("*").over(whole))
-    rare = common.withColumn("places", places).withColumn("place", F.row_number().over(ordered)).where("place <= places")
-    rare = materialize(rare.select("class", "component", "size", "s"), "rare")
-    x, y = rare.alias("x"), rare.alias("y")
+    ordered = common.groupBy("class", "component", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    places = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("order"))
+    alone = (F.col("size") - F.size("order")).alias("alone")
+    rare = materialize(ordered.where(places > 0).select("class", "component", "size", alone, F.transform(F.slice("order", F.lit(1), places.cast("int")), lambda x: x["s"]).alias("rare")), "rare")
+    # Behind the shingle at place i of those in common, alone + i + 1 of the set's shingles are used up.
+    each = rare.select("class", "component", "size", "rare", F.posexplode("rare").alias("i", "s"), "alone").withColumn("left", F.col("size") - F.col("alone") - F.col("i"))
+    x, y = each.alias("x"), each.alias("y")
     may = (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.size"), F.col("y.size"))
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & may).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
+    first = F.get(F.array_intersect("x.rare", "y.rare"), F.lit(0)) == F.col("x.s")
+    overlap = F.ceil(LEAST / (1 + LEAST) * (F.col("x.size") + F.col("y.size")) - 1e-6)
+    may = may & (F.least("x.left", "y.left") >= overlap)
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & may & first).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    out = materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
+    release(left, rare)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -368,35 +404,73 @@ def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return materialize(both.select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity")), name)
 
 
+def _similar(judged: DataFrame) -> DataFrame:
+    return judged.where(F.col("similarity") >= LEAST - 1e-9).select("a", "b")
+
+
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """pairs with the components la and lb of their sides, where these differ."""
+    for side in "ab":
+        label = named.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(label, side, "left").withColumn(f"l{side}", F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+    return pairs.where("la <> lb")
+
+
+def _joined(named: DataFrame, similar: DataFrame, name: str) -> DataFrame:
+    """Components after further links: those that exist are nodes of a smaller graph."""
+    edges = materialize(_apart(similar, named).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"{name}-links", rows=similar.count())
+    if edges.isEmpty():
+        return named
+    merged = components(edges, name).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = named.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    fresh = merged.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(named.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(fresh), f"{name}-all", rows=named.count() + 2 * edges.count())
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
     """id, tk (hash of the text) and component of every row; components join pairs of similarity LEAST or more.
 
     Fingerprints and bands of min-hashes only propose pairs; each counts by its exact Jaccard similarity over
-    sets of shingles of EXACT_WIDTH words. First every member of a band is held against the band's top, then the
-    members that are still apart against each other. Texts without words have the same, empty set.
+    sets of shingles of EXACT_WIDTH words. First every class is held against the one that most of its bands and
+    views propose, then those still apart against their other proposals, last the members of a band that are still
+    apart against each other; so a large group of copies takes about one comparison a copy. Texts without words have
+    the same, empty set.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tk"), F.col(text).cast("string").alias("text"))
     prints = materialize(sketches(rows, n_views, width), "views")
     classes = prints.groupBy("class").agg(F.min("fps").alias("fps"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull(), "id", "tk")).alias("row"))
     classes = materialize(classes, "classes")
+    named_rows = materialize(prints.select("id", "tk", "class"), "rows")
+    release(prints)
     members = band_members(classes)
     tops = members.where(_alike(F.col("size"), F.col("top_size"))).select(F.col("class").alias("a"), F.col("top").alias("b"))
-    pairs = materialize(_pairs(candidate_links(classes, radius).unionByName(tops)), "pairs")
+    proposed = candidate_links(classes, radius).unionByName(tops).where("a <> b")
+    pairs = materialize(proposed.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("n")), "pairs")
     wanted = members.select("class").union(pairs.select("a")).union(pairs.select("b")).distinct()
     holders = classes.join(wanted, "class", "left_semi").select("class", F.col("row.id").alias("h_id"), F.col("row.tk").alias("h_tk"))
     texts = rows.join(holders, (F.col("tk") == F.col("h_tk")) & F.col("id").eqNullSafe(F.col("h_id"))).select("class", "text")
     sets = materialize(shingle_sets(texts).dropDuplicates(["class"]), "sets")
-    judged = verified(pairs, sets, "similar")
-    sure = judged.where(F.col("similarity") >= LEAST - 1e-9).select("a", "b")
-    named = components(sure, "copies")
-    later = verified(open_pairs(members, judged, named, sets), sets, "similar-later").where(F.col("similarity") >= LEAST - 1e-9).select("a", "b")
-    if not later.isEmpty():
-        named = components(sure.unionByName(later), "all-copies")
-    return prints.join(named.withColumnRenamed("node", "class"), "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
+    release(classes)
+    n = pairs.count()
+    best = materialize(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best", rows=n)
+    judged = verified(best, sets, "similar")
+    named = roots(_similar(judged).select(F.col("a").alias("node"), F.col("b").alias("parent")), "copies")
+    others = materialize(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), named).select("a", "b"), "others", rows=n)
+    more = verified(others, sets, "similar-others")
+    named = _joined(named, _similar(more), "copies-more")
+    seen = judged.unionByName(more).select("b", "a").toDF("a", "b")  # as open_pairs names them, the lesser first
+    later = verified(open_pairs(members, seen, named, sets), sets, "similar-later")
+    named = _joined(named, _similar(later), "copies-later")
+    release(members, pairs, sets, best, others, judged, more, later)
+    return named_rows.join(named.withColumnRenamed("node", "class"), "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 2, n_views: int = 5, radius: int = 3) -> DataFrame:
-    """One row of docs for each component of near copies: the one with the least id, null last, then the least hash of its text."""
+    """One row of docs for each component of near copies: the one with the least id, null last, then the least hash of its text.
+
+    Rows that repeat an id but not a text are different rows, and rows with a null id are kept like others. Null,
+    empty and blank texts are copies of each other. An empty table gives no rows.
+    """
     found = near_copies(docs, id_col, text, width, n_views, radius)
     stay = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tk")).alias("row")).select(F.col("row.id").alias("__id"), F.col("row.tk").alias("__tk"))
     tk = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
