@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import join_hot, keep_only, materialize, release, ship, slices_of
+from tidemark.llm.common import join_hot, keep_only, materialize, release, ship, slices_of, split_methods
 
 SEED = 42
 SHARD_LIMIT = 4096
@@ -31,6 +31,10 @@ LEAST = 0.8
 #: Bands of min-hashes that propose pairs, and min-hashes in each. A pair of similarity LEAST agrees on no band
 #: with a chance of (1 - 0.8 ** 4) ** 32, 5e-8.
 BANDS, IN_BAND = 32, 4
+#: 64-bit words of a set's parity sketch.
+SKETCH = 32
+#: Pairs of open classes are sampled first where more than MEETINGS a class may meet; each further round takes STEP times the share.
+MEETINGS, STEP = 64, 16
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * IN_BAND, 1), dtype=np.uint64) | np.array([0, 1], dtype=np.uint64).reshape(2, 1, 1)
 
 
@@ -129,17 +133,27 @@ def sketches(docs: DataFrame, n: int, width: int) -> DataFrame:
     return docs.select("id", "tk", "text").mapInArrow(run, schema)
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH words of parity bits: each hash flips the one that its top bits name.
+
+    Sketches of two sets differ in as many bits as the sets have shingles apart, or fewer.
+    """
+    flips = np.bincount((hashes >> np.uint64(64 - (64 * SKETCH - 1).bit_length())).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """class and shingles, the set of the text's shingles of EXACT_WIDTH words."""
+    """class, shingles, the set of the text's shingles of EXACT_WIDTH words, and sketch, as sketch_of."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             for a, b in slices_of(batch.column(1)):
-                sets = [_set_of(t.as_py()).view(np.int64) for t in batch.column(1)[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
+                sets = [_set_of(t.as_py()) for t in batch.column(1)[a:b]]
+                columns = ([x.view(np.int64) for x in sets], [sketch_of(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(x, pa.list_(pa.int64())) for x in columns)], names=["class", "shingles", "sketch"])
 
-    return docs.select("class", "text").mapInArrow(run, "class long, shingles array<long>")
+    return docs.select("class", "text").mapInArrow(run, "class long, shingles array<long>, sketch array<long>")
 
 
 class BKTree:
@@ -364,35 +378,64 @@ def _alike(a: Column, b: Column) -> Column:
     return F.least(a, b) >= (LEAST - 1e-9) * F.greatest(a, b)
 
 
-def open_pairs(members: DataFrame, judged: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) in bands of several components that are not judged, lie in different ones and can reach LEAST.
+def rare_shingles(members: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, size, alone, rare and sketch of the classes in bands of several components.
 
     Two sets of n shingles or more can reach LEAST only where they share one of the n - LEAST * n + 1 that are
-    rarest among these classes, so only those are joined; shingles that a class has alone take places and join
-    nothing. A pair meets at the first of those that it shares, and nowhere else; and only where what stands behind
-    it in both can still make up the overlap that LEAST asks of two sets of their sizes.
+    rarest among these classes: rare, of which those that a class has alone, alone in number, take places only.
     """
     label = named.select(F.col("node").alias("class"), "component")
     rows = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    left = materialize(rows.join(split, "key", "left_semi").select("class", "component", "size").distinct(), "open")
-    words = left.join(sets, "class").select("class", "component", "size", F.explode("shingles").alias("s"))
+    left = materialize(rows.join(split, "key", "left_semi").select("class", "size").distinct(), "open")
+    words = left.join(sets, "class").select("class", "size", F.explode("shingles").alias("s"))
     common = words.join(words.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
-    ordered = common.groupBy("class", "component", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    ordered = common.groupBy("class", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     places = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("order"))
     alone = (F.col("size") - F.size("order")).alias("alone")
-    rare = materialize(ordered.where(places > 0).select("class", "component", "size", alone, F.transform(F.slice("order", F.lit(1), places.cast("int")), lambda x: x["s"]).alias("rare")), "rare")
+    few = ordered.where(places > 0).select("class", "size", alone, F.transform(F.slice("order", F.lit(1), places.cast("int")), lambda x: x["s"]).alias("rare"))
+    rare = materialize(few.join(sets.select("class", "sketch"), "class"), "rare")
+    release(left)
+    return rare
+
+
+def shares_of(rare: DataFrame) -> list[float]:
+    """The growing shares of pairs to judge, of which the last is all.
+
+    Links that a share of all pairs, drawn at random, leaves between components are about as many as classes, divided by
+    that share, whatever the sizes of the groups; so no round finds many more than STEP links a class.
+    """
+    met = rare.select(F.explode("rare").alias("s")).groupBy("s").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+    shares = [1.0]
+    while shares[0] * met > MEETINGS * rare.count():
+        shares.insert(0, shares[0] / STEP)
+    return shares
+
+
+def open_pairs(rare: DataFrame, judged: DataFrame, named: DataFrame, above: float = 0.0, share: float = 1.0) -> DataFrame:
+    """Pairs (a, b) of rare that are not judged, lie in different components and can reach LEAST.
+
+    Those alone whose place among all, by a hash of the pair, is between above and share. A pair meets at the first
+    rare shingle that it shares, and nowhere else; and only where what stands behind it in both, and the sketches, can
+    still make up the overlap that LEAST asks of two sets of their sizes.
+    """
+    label = named.select(F.col("node").alias("class"), "component")
+    rows = rare.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # Behind the shingle at place i of those in common, alone + i + 1 of the set's shingles are used up.
-    each = rare.select("class", "component", "size", "rare", F.posexplode("rare").alias("i", "s"), "alone").withColumn("left", F.col("size") - F.col("alone") - F.col("i"))
+    each = rows.select("class", "component", "size", "rare", "sketch", F.posexplode("rare").alias("i", "s"), "alone").withColumn("left", F.col("size") - F.col("alone") - F.col("i"))
     x, y = each.alias("x"), each.alias("y")
     may = (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.size"), F.col("y.size"))
+    if (above, share) != (0.0, 1.0):
+        place = F.shiftrightunsigned(F.xxhash64("x.class", "y.class"), 1)
+        may = may & (place >= int(above * (1 << 63))) & (place <= int(share * (1 << 63)) - 1)
+    total = F.col("x.size") + F.col("y.size")
+    overlap = F.ceil(LEAST / (1 + LEAST) * total - 1e-6)
+    apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     first = F.get(F.array_intersect("x.rare", "y.rare"), F.lit(0)) == F.col("x.s")
-    overlap = F.ceil(LEAST / (1 + LEAST) * (F.col("x.size") + F.col("y.size")) - 1e-6)
-    may = may & (F.least("x.left", "y.left") >= overlap)
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & may & first).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    out = materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
-    release(left, rare)
-    return out
+    may = may & (F.least("x.left", "y.left") >= overlap) & (apart <= total - 2 * overlap) & first
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & may).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    with split_methods(rare.sparkSession):
+        return materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -433,8 +476,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     Fingerprints and bands of min-hashes only propose pairs; each counts by its exact Jaccard similarity over
     sets of shingles of EXACT_WIDTH words. First every class is held against the one that most of its bands and
     views propose, then those still apart against their other proposals, last the members of a band that are still
-    apart against each other; so a large group of copies takes about one comparison a copy. Texts without words have
-    the same, empty set.
+    apart against each other, in rounds of growing shares of their pairs; so a large group of copies takes about one
+    comparison a copy. Texts without words have the same, empty set.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tk"), F.col(text).cast("string").alias("text"))
     prints = materialize(sketches(rows, n_views, width), "views")
@@ -459,9 +502,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     more = verified(others, sets, "similar-others")
     named = _joined(named, _similar(more), "copies-more")
     seen = judged.unionByName(more).select("b", "a").toDF("a", "b")  # as open_pairs names them, the lesser first
-    later = verified(open_pairs(members, seen, named, sets), sets, "similar-later")
-    named = _joined(named, _similar(later), "copies-later")
-    release(members, pairs, sets, best, others, judged, more, later)
+    rare = rare_shingles(members, named, sets)
+    above = 0.0
+    for share in shares_of(rare):
+        some = open_pairs(rare, seen, named, above, share)
+        later = verified(some, sets, "similar-later")
+        named, above = _joined(named, _similar(later), "copies-later"), share
+        release(some, later)
+    release(members, pairs, sets, best, others, judged, more, rare)
     return named_rows.join(named.withColumnRenamed("node", "class"), "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
 
 
