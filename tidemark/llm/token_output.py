@@ -41,15 +41,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = 256, si
     """A dictionary over the serialized ids of the sample texts with the least hash, equal ones once.
 
     The sample is a documented bound; it only shapes compression. Of a text, BLOCKS blocks of BLOCK bytes at most,
-    spread over all of it, reach the driver. Too little data gives an empty dictionary.
+    spread over all of it, reach the driver. Too little data gives an empty dictionary. Null texts are drawn too, as one
+    without ids: so the rows are counted without a scan of the texts.
     """
 
     def spread(text: str, h: int) -> bytes:
-        ids = encoder(tokenizer_path).encode_bytes([text])[0]
+        ids = encoder(tokenizer_path).encode_bytes([text or ""])[0]
         n = -(-len(ids) // BLOCK)
         return b"".join(ids[i * BLOCK : (i + 1) * BLOCK] for i in sorted({k * n // BLOCKS for k in range(BLOCKS)} if n > BLOCKS else range(n)))
 
-    blocks = [r.blob[i : i + BLOCK] for r in draw(docs.where("text is not null").select("text"), ["text"], sample, spread) for i in range(0, len(r.blob), BLOCK)]
+    blocks = [r.blob[i : i + BLOCK] for r in draw(docs.select("text"), ["text"], sample, spread) for i in range(0, len(r.blob), BLOCK)]
     blocks = [b for b in blocks if len(b) >= 8]
     if len(blocks) < 16:
         return b""

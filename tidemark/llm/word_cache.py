@@ -25,6 +25,17 @@ _ODD = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2
 _RUN = re.compile(r"[.,](?<=[\W_].)")
 
 
+class _Known(dict):
+    """Ids by word. One that is not there is None, and is noted in fresh, once each time it is looked up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.fresh.append(word)
+
+
 class WordEncoder:
     """encode_bytes(texts): the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -40,7 +51,7 @@ class WordEncoder:
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.edge[[i for t, i in vocab.items() if (t.endswith("</w>") if self.word_ends else t.startswith("Ġ"))]] = True
         self.entries = entries
-        self.words: dict[str, bytes] = {}
+        self.words = _Known()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,7 +62,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words, each led by a space, or by what stands after \\x01 alone."""
         out: dict[str, bytes] = {}
-        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        plain = [w for w in words if w.isalpha() and (w.isascii() or w.lower().isalpha())]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             ids = self._ids(" " + " ".join(some))
@@ -80,26 +91,34 @@ class WordEncoder:
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        split: dict[int, list[str]] = {}
+        known = self.words
+        gaps: list[tuple[int, list[bytes | None], list[str]]] = []
         whole: list[int] = []
         for i, t in enumerate(texts):
             if t:
                 if self._plain(t):
                     if self.word_ends:  # this vocabulary is of lower case, so fewer words are new
                         t = t.lower()
-                    split[i] = ("\x01" + t).replace("\n", " \x01\n").replace(".", " \x01.").replace(",", " \x01,").split(" ")
+                    known.fresh = []
+                    parts = list(map(known.__getitem__, ("\x01" + t).replace("\n", " \x01\n").replace(".", " \x01.").replace(",", " \x01,").split(" ")))
+                    if known.fresh:
+                        gaps.append((i, parts, known.fresh))
+                    else:
+                        out[i] = b"".join(parts)
                 else:
                     whole.append(i)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        known = self.words
-        missing = list(set().union(*split.values()).difference(known)) if split else []
-        if missing:
-            known.update(self._learn(missing))
-        for i, words in split.items():
-            out[i] = b"".join(map(known.__getitem__, words))
-        for w in missing if len(known) > self.entries else [w for w in missing if len(w) > _LETTERS]:
-            del known[w]
+        missing = list(dict.fromkeys(w for _, _, fresh in gaps for w in fresh))
+        learned = self._learn(missing) if missing else {}
+        for i, parts, fresh in gaps:
+            at = -1
+            for w in fresh:  # in the order of their gaps
+                at = parts.index(None, at + 1)
+                parts[at] = learned[w]
+            out[i] = b"".join(parts)
+        if len(known) + len(learned) <= self.entries:
+            known.update((w, ids) for w, ids in learned.items() if len(w) <= _LETTERS)
         return out
 
 
