@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import join_hot, keep_only, materialize, release, ship, slices_of, split_methods
+from tidemark.llm.common import join_hot, keep_only, materialize, release, ship, slices_of, split_methods, unused
 
 SEED = 42
 SHARD_LIMIT = 4096
@@ -33,7 +33,7 @@ LEAST = 0.8
 BANDS, IN_BAND = 32, 4
 #: 64-bit words of a set's parity sketch.
 SKETCH = 32
-#: Pairs of open classes are sampled first where more than MEETINGS a class may meet; each further round takes STEP times the share.
+#: Pairs of open classes are sampled first where more than MEETINGS a class may meet; each further round takes STEP times the share or more.
 MEETINGS, STEP = 64, 16
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * IN_BAND, 1), dtype=np.uint64) | np.array([0, 1], dtype=np.uint64).reshape(2, 1, 1)
 
@@ -378,8 +378,8 @@ def _alike(a: Column, b: Column) -> Column:
     return F.least(a, b) >= (LEAST - 1e-9) * F.greatest(a, b)
 
 
-def rare_shingles(members: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
-    """class, size, alone, rare and sketch of the classes in bands of several components.
+def rare_shingles(members: DataFrame, named: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """class, size, alone, rare and sketch of the classes in bands of several components, and class and shingles of these classes.
 
     Two sets of n shingles or more can reach LEAST only where they share one of the n - LEAST * n + 1 that are
     rarest among these classes: rare, of which those that a class has alone, alone in number, take places only.
@@ -387,29 +387,48 @@ def rare_shingles(members: DataFrame, named: DataFrame, sets: DataFrame) -> Data
     label = named.select(F.col("node").alias("class"), "component")
     rows = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    left = materialize(rows.join(split, "key", "left_semi").select("class", "size").distinct(), "open")
-    words = left.join(sets, "class").select("class", "size", F.explode("shingles").alias("s"))
+    left = rows.join(split, "key", "left_semi").select("class", "size").distinct()
+    held = materialize(left.join(sets, "class"), "open")
+    words = held.select("class", "size", F.explode("shingles").alias("s"))
     common = words.join(words.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s")
     ordered = common.groupBy("class", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     places = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("order"))
     alone = (F.col("size") - F.size("order")).alias("alone")
     few = ordered.where(places > 0).select("class", "size", alone, F.transform(F.slice("order", F.lit(1), places.cast("int")), lambda x: x["s"]).alias("rare"))
-    rare = materialize(few.join(sets.select("class", "sketch"), "class"), "rare")
-    release(left)
-    return rare
+    return materialize(few.join(held.select("class", "sketch"), "class"), "rare"), held
 
 
-def shares_of(rare: DataFrame) -> list[float]:
-    """The growing shares of pairs to judge, of which the last is all.
+def first_share(rare: DataFrame) -> float:
+    """The share of pairs to judge first: all, or so few that MEETINGS a class may meet."""
+    met = rare.select(F.explode("rare").alias("s")).groupBy("s").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+    share, n = 1.0, rare.count()
+    while share * met > MEETINGS * n:
+        share /= STEP
+    return share
+
+
+def next_share(share: float, found: int, classes: int) -> float:
+    """The share up to which pairs are judged next, where found pairs made up the share before.
 
     Links that a share of all pairs, drawn at random, leaves between components are about as many as classes, divided by
-    that share, whatever the sizes of the groups; so no round finds many more than STEP links a class.
+    that share, whatever the sizes of the groups; so STEP times the share finds few more than STEP links a class. Where
+    few pairs were found, the share that would hold one a class is taken at once.
     """
-    met = rare.select(F.explode("rare").alias("s")).groupBy("s").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
-    shares = [1.0]
-    while shares[0] * met > MEETINGS * rare.count():
-        shares.insert(0, shares[0] / STEP)
-    return shares
+    return min(1.0, share * max(STEP, classes / (found + 3)))
+
+
+def open_shingles(rare: DataFrame, named: DataFrame) -> DataFrame:
+    """class, component, size, alone, sketch and open of the classes of rare, by the components of now.
+
+    open holds place and shingle, i and s, of those of rare that classes of several components have: all at which a
+    pair of different components can meet.
+    """
+    label = named.select(F.col("node").alias("class"), "component")
+    rows = rare.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    each = rows.select("class", "component", F.posexplode("rare").alias("i", "s"))
+    split = each.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
+    places = each.select("class", "i", "s").join(split, "s", "left_semi").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("open"))
+    return materialize(rows.drop("rare").join(places, "class"), "open-shingles")
 
 
 def open_pairs(rare: DataFrame, judged: DataFrame, named: DataFrame, above: float = 0.0, share: float = 1.0) -> DataFrame:
@@ -417,12 +436,13 @@ def open_pairs(rare: DataFrame, judged: DataFrame, named: DataFrame, above: floa
 
     Those alone whose place among all, by a hash of the pair, is between above and share. A pair meets at the first
     rare shingle that it shares, and nowhere else; and only where what stands behind it in both, and the sketches, can
-    still make up the overlap that LEAST asks of two sets of their sizes.
+    still make up the overlap that LEAST asks of two sets of their sizes. A row carries the open shingles before its own
+    alone: no other tells whether its own is a pair's first.
     """
-    label = named.select(F.col("node").alias("class"), "component")
-    rows = rare.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = open_shingles(rare, named)
+    each = rows.withColumn("s", F.col("open.s")).select("class", "component", "size", "alone", "sketch", "s", F.posexplode("open").alias("k", "at"))
     # Behind the shingle at place i of those in common, alone + i + 1 of the set's shingles are used up.
-    each = rows.select("class", "component", "size", "rare", "sketch", F.posexplode("rare").alias("i", "s"), "alone").withColumn("left", F.col("size") - F.col("alone") - F.col("i"))
+    each = each.select("class", "component", "size", "sketch", F.col("at.s").alias("s"), F.slice("s", F.lit(1), F.col("k")).alias("before"), (F.col("size") - F.col("alone") - F.col("at.i")).alias("left"))
     x, y = each.alias("x"), each.alias("y")
     may = (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.size"), F.col("y.size"))
     if (above, share) != (0.0, 1.0):
@@ -431,11 +451,12 @@ def open_pairs(rare: DataFrame, judged: DataFrame, named: DataFrame, above: floa
     total = F.col("x.size") + F.col("y.size")
     overlap = F.ceil(LEAST / (1 + LEAST) * total - 1e-6)
     apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    first = F.get(F.array_intersect("x.rare", "y.rare"), F.lit(0)) == F.col("x.s")
-    may = may & (F.least("x.left", "y.left") >= overlap) & (apart <= total - 2 * overlap) & first
+    may = may & (F.least("x.left", "y.left") >= overlap) & (apart <= total - 2 * overlap) & ~F.arrays_overlap("x.before", "y.before")
     pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & may).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
     with split_methods(rare.sparkSession):
-        return materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
+        found = materialize(pairs.join(judged, ["a", "b"], "left_anti"), "open-pairs")
+    release(rows)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -490,9 +511,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     proposed = candidate_links(classes, radius).unionByName(tops).where("a <> b")
     pairs = materialize(proposed.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("n")), "pairs")
     wanted = members.select("class").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    holders = classes.join(wanted, "class", "left_semi").select("class", F.col("row.id").alias("h_id"), F.col("row.tk").alias("h_tk"))
-    texts = rows.join(holders, (F.col("tk") == F.col("h_tk")) & F.col("id").eqNullSafe(F.col("h_id"))).select("class", "text")
-    sets = materialize(shingle_sets(texts).dropDuplicates(["class"]), "sets")
+    holders = classes.join(wanted, "class", "left_semi").select("class", F.struct("row.id", "row.tk").alias("row"))
+    # A struct is one key, and its null fields are equal; as that of the table read back is taken, repeated rows go without another shuffle.
+    texts = holders.join(rows.select(F.struct("id", "tk").alias("row"), "text"), "row").dropDuplicates(["row"])
+    sets = materialize(shingle_sets(texts), "sets")
     release(classes)
     n = pairs.count()
     best = materialize(pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "best", rows=n)
@@ -502,14 +524,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     more = verified(others, sets, "similar-others")
     named = _joined(named, _similar(more), "copies-more")
     seen = judged.unionByName(more).select("b", "a").toDF("a", "b")  # as open_pairs names them, the lesser first
-    rare = rare_shingles(members, named, sets)
-    above = 0.0
-    for share in shares_of(rare):
+    rare, held = rare_shingles(members, named, sets)
+    above, share, n = 0.0, first_share(rare), rare.count()
+    while above < 1.0:
         some = open_pairs(rare, seen, named, above, share)
-        later = verified(some, sets, "similar-later")
-        named, above = _joined(named, _similar(later), "copies-later"), share
+        later = verified(some, held, "similar-later")
+        named = _joined(named, _similar(later), "copies-later")
+        above, share = share, next_share(share, some.count(), n)
         release(some, later)
-    release(members, pairs, sets, best, others, judged, more, rare)
+    release(members, pairs, sets, best, others, judged, more, rare, held)
     return named_rows.join(named.withColumnRenamed("node", "class"), "class", "left").select("id", "tk", F.coalesce("component", "class").alias("component"))
 
 
@@ -520,7 +543,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     empty and blank texts are copies of each other. An empty table gives no rows.
     """
     found = near_copies(docs, id_col, text, width, n_views, radius)
-    stay = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tk")).alias("row")).select(F.col("row.id").alias("__id"), F.col("row.tk").alias("__tk"))
+    key = unused("__row", docs.columns)
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "tk")).alias("row")).select(F.struct("row.id", "row.tk").alias(key))
     tk = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    kept = docs.join(materialize(stay, "stay"), (tk == F.col("__tk")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__id", "__tk"]).select(*docs.columns)
+    kept = materialize(stay, "stay").join(docs.withColumn(key, F.struct(F.col(id_col).alias("id"), tk.alias("tk"))), key)
+    return kept.dropDuplicates([key]).select(*docs.columns)
