@@ -1,6 +1,7 @@
 """Merges above the limit: refused unless the caller asks for them, by proposals and by the registered queries too."""
 
 import os
+import shutil
 from functools import partialmethod
 
 import pytest
@@ -25,9 +26,28 @@ def test_a_large_proposal_is_merged_where_asked(spark, tmp_path):
     assert r.proposals("merged").count() == 1 and r.read("t").where("v = 1").count() == MERGE_LIMIT + 1
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_the_registered_repository_is_built_whatever_the_size_of_part(spark, monkeypatch):
-    """As over a part table of which more rows change than a merge takes unasked."""
-    monkeypatch.setattr(Repository, "merge", partialmethod(Repository.merge, limit=0))
-    s = repository_queries.Shop(spark, DATA)
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    """The registered queries' repository over more customers than DATA has, where any merge is a large one."""
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    path = str(tmp_path_factory.mktemp("tables"))
+    for name in ("part", "nation", "region"):
+        shutil.copy(f"{DATA}/{name}.parquet", path)
+    customers = spark.range(1, 301).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name"), F.lit(1).alias("c_nationkey"))
+    customers.write.parquet(f"{path}/customer.parquet")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Repository, "merge", partialmethod(Repository.merge, limit=0))
+        repository_queries.shop(spark, path)
+    return path
+
+
+def test_the_registered_repository_is_built_whatever_the_size_of_part(spark, built):
+    s = repository_queries.shop(spark, built)
     assert s.repo.proposals().first().state == "merged" and s.noted["refused"].count(("large",)) == 1
+
+
+def test_erased_history_holds_every_customer(spark, built):
+    names = {r.c_custkey: r.c_name for r in repository_queries.erased_history(spark, built).collect()}
+    assert names == {k: "<erased>" if k == 7 else f"c{k}" for k in range(1, 301)}
+    assert tuple(repository_queries.sealed_columns(spark, built).first()) == (200, True, True)
