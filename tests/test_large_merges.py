@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import repository_queries
+from tidemark.cli import main as cli
 from tidemark.repository import MERGE_LIMIT, Refused, Repository
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -22,7 +23,8 @@ def test_a_large_proposal_is_merged_where_asked(spark, tmp_path):
     with pytest.raises(Refused):
         r.merge_proposal(n, "t", "ada")
     assert r.proposals("merged").isEmpty() and r.read("t").where("v = 1").isEmpty()
-    assert r.merge_proposal(n, "t", "ada", chunked=True).clean
+    assert cli([r.path, "merge-proposal", str(n), "t", "ada", "--chunked"], spark) == 0
+    r.refresh()
     assert r.proposals("merged").count() == 1 and r.read("t").where("v = 1").count() == MERGE_LIMIT + 1
 
 
